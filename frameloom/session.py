@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -12,20 +13,26 @@ from pyspark.sql import DataFrame, SparkSession
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
+#: Folders made for sessions that name none, by application.
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the cluster names it.
+    """The folder all executors share, as the cluster names it in ``spark.checkpoint.dir``.
 
     Only where the setting is absent (local tests) a folder of our own is made;
     that is refused on a cluster, where executors could not see it.
     """
-    path = spark.sparkContext.getConf().get(CHECKPOINT_KEY) or spark.conf.get(CHECKPOINT_KEY, None)
+    path = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     if path:
         return path
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if context.master != "local" and not context.master.startswith("local["):
         raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
-    path = tempfile.mkdtemp(prefix="frameloom-")
-    spark.conf.set(CHECKPOINT_KEY, path)
-    return path
+    if context.applicationId not in _own:
+        _own[context.applicationId] = path = tempfile.mkdtemp(prefix="frameloom-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return _own[context.applicationId]
 
 
 class Scratch:
@@ -80,6 +87,3 @@ def local_session(cores: str = "8", memory: str = "12g") -> SparkSession:
         .getOrCreate()
     )
 
-
-def forget(path: str) -> None:
-    shutil.rmtree(path, ignore_errors=True)
