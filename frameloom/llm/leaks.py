@@ -101,30 +101,32 @@ def _edits(a: str, b: str, most: int) -> int:
     return row[-1]
 
 
-#: Single characters that are read one for another.
-CONFUSED = tuple(map(frozenset, ("ao", "o0", "ce", "tf", "il1", "5s", "8b", "6b", "2z", "9g", "uv", "nh", "yv")))
-#: Letter groups that look like one letter.
+#: Characters that are read one for another, the first standing for all, and letter groups read as one letter.
+CONFUSED = {c: group[0] for group in ("oa0", "ce", "tf", "il1", "s5", "bhn86", "z2", "g9", "uv") for c in group}
 GROUPS = (("rn", "m"), ("ii", "u"), ("vv", "w"), ("cl", "d"))
 
 
-def _folded(word: str) -> str:
+def _grouped(word: str) -> str:
     for group, letter in GROUPS:
         word = word.replace(group, letter)
     return word
 
 
+def _shape(word: str) -> str:
+    return "".join(CONFUSED.get(c, c) for c in _grouped(word))
+
+
 def misread(word: str, seen: str) -> bool:
     """Whether ``seen`` can be ``word`` with a character or two misread.
 
-    The shorter the word, the more of it must agree: a single letter may only turn into one it is
-    confused with, one letter of two or three may differ, two of more.
+    Two characters that look like what stands there may differ in any word. Otherwise one may
+    in words of four or five characters and two in longer ones; in shorter words a differing
+    letter that looks different makes another word.
     """
     if word == seen:
         return True
-    if len(word) == 1 and len(seen) == 1:
-        return any(word in c and seen in c for c in CONFUSED)
-    most = 1 if len(word) <= 3 else 2
-    return len(seen) > 1 and (_edits(word, seen, most) <= most or _edits(_folded(word), _folded(seen), most) <= most)
+    edits = min(_edits(word, seen, 2), _edits(_grouped(word), _grouped(seen), 2))
+    return edits <= (0 if len(word) <= 3 else 1 if len(word) <= 5 else 2) or edits <= 2 and _shape(word) == _shape(seen)
 
 
 class Item:
@@ -164,9 +166,9 @@ class Item:
                 continue
             if not left:
                 return False
-            if d + 1 < len(doc) and doc[d] + doc[d + 1] == mine[i] and self._from(i + 1, end, doc, d + 2, left - 1):
+            if d + 1 < len(doc) and misread(mine[i], doc[d] + doc[d + 1]) and self._from(i + 1, end, doc, d + 2, left - 1):
                 return True
-            if i + 1 < end and mine[i] + mine[i + 1] == doc[d] and self._from(i + 2, end, doc, d + 1, left - 1):
+            if i + 1 < end and misread(mine[i] + mine[i + 1], doc[d]) and self._from(i + 2, end, doc, d + 1, left - 1):
                 return True
             if not misread(mine[i], doc[d]):
                 return False
@@ -187,12 +189,12 @@ class Item:
             if near < self.shared:
                 continue
             for s in range(len(self.words) - self.window + 1):
-                start = s + offset
-                if start < 0 or (s, start) in tried:
-                    continue
-                tried.add((s, start))
-                if self._from(s, s + self.window, doc, start, self.misread):
-                    return True
+                for start in range(s + offset - self.misread, s + offset + self.misread + 1):
+                    if start < 0 or (s, start) in tried:
+                        continue
+                    tried.add((s, start))
+                    if self._from(s, s + self.window, doc, start, self.misread):
+                        return True
         return False
 
 

@@ -37,7 +37,7 @@ def replaced(changes, words=SPOKEN):
         PASSAGE, PASSAGE.upper(), cues(SPOKEN), cues(SPOKEN).replace("\n", "\r\n"), " ".join(SPOKEN[3:15]),
         cues(SPOKEN).replace("relocated", "relo-\ncated"), cues(SPOKEN, 3).replace("near", "<i>near</i>"), "\n".join(SPOKEN),
         cues(SPOKEN).replace("now", "[DOOR CREAKS]\n\n9\n00:00:50,000 --> 00:00:51,000\nnow"), cues(SPOKEN).replace("wool", "(phone rings) wool").replace("Tork", "* laughs * Tork"),
-        replaced({1: "gran4ry", 9: "woo1"}, SPOKEN[:12]), replaced({4: "ncar", 8: "hoIds"}, SPOKEN[:12]), PASSAGE.replace("o", "ο").replace("a", "а").replace("fi", "ﬁ"),
+        replaced({1: "gran4ry", 8: "woo1"}, SPOKEN[:12]), replaced({4: "ncar", 7: "hoIds"}, SPOKEN[:12]), PASSAGE.replace("o", "ο").replace("a", "а").replace("fi", "ﬁ"),
         "Ｔｈｅ ｇｒａｎａｒｙ ｏｎｃｅ relo​cated near Tork now holds wool for Beln In Rish", "gran-\n\n44\n00:00:01,000 --> 00:00:02,000\nary once relocated near Tork now holds wool for Beln In Rish the",
         " ".join(SPOKEN[:6]) + "\n\n5\n00:00:01,000 --> 00:00:02,000\nORRA: " + " ".join(SPOKEN[6:12]), "The gran ary once relocated near Tork now holds wool for Beln in",
     ],
@@ -50,7 +50,7 @@ def test_spoken(text):
     "text",
     [
         "", " ".join(SPOKEN[3:14]) + " else", " ".join(SPOKEN[::-1]), replaced({2: "hammer", 5: "basket", 8: "candle", 11: "river", 14: "wagon", 17: "mirror", 20: "tunnel"}),
-        replaced({1: "gran4ry", 4: "ncar", 9: "woo1"}, SPOKEN[:12]), replaced({1: "seedling", 9: "amber"}, SPOKEN[:12]), " ".join(w + " um" for w in SPOKEN),
+        replaced({1: "gran4ry", 4: "ncar", 8: "woo1"}, SPOKEN[:12]), replaced({1: "seedling", 8: "amber"}, SPOKEN[:12]), " ".join(w + " um" for w in SPOKEN),
     ],
 )
 def test_not_spoken(text):
@@ -103,6 +103,6 @@ def test_very_long_text():
     assert spoken("blah " * 200_000 + PASSAGE + " blah" * 200_000)
 
 
-@pytest.mark.parametrize("word,seen,yes", [("granary", "gran4ry", True), ("a", "o", True), ("a", "x", False), ("dismor", "disrnor", True), ("we", "wc", True), ("in", "of", False), ("but", "biit", True), ("near", "hammer", False), ("48", "99", False)])
+@pytest.mark.parametrize("word,seen,yes", [("granary", "gran4ry", True), ("a", "o", True), ("a", "x", False), ("dismor", "disrnor", True), ("we", "wc", True), ("in", "of", False), ("but", "biit", True), ("near", "hammer", False), ("how", "bow", True), ("nith", "zuth", False), ("near", "ncor", True), ("was", "wax", False), ("48", "99", False)])
 def test_misread(word, seen, yes):
     assert L.misread(word, seen) is yes
