@@ -8,7 +8,8 @@ Two texts look the same if their skeletons are equal. The skeleton
 ASCII characters are never merged, nor are letters with and without accent, nor the cases.
 
 A null text has no skeleton; neither has a text without a visible character. Empty tables
-give empty results. Equal texts are never a pair, whatever their number.
+give empty results. Equal texts are never a pair, whatever their number. Repeated rows of one document
+repeat its pairs.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from frameloom.session import Scratch
+
 # Letters of other scripts and the Latin characters of the same shape (public Unicode
 # look-alike data), in the order of their code points.
 LOOK_ALIKES = {
@@ -127,7 +130,8 @@ def look_alike_pairs(documents: DataFrame, id_col: str = "doc_id", text_col: str
     Copies of one text are never paired; a group is expanded by a join of its spellings, so that
     a form with a single spelling, however often copied, costs nothing here.
     """
-    made = forms(documents, id_col, text_col)
+    # The digests are a few bytes a document: written once, the texts are read and decomposed once.
+    made = Scratch(documents.sparkSession, "forms").write(forms(documents, id_col, text_col), "forms")
     several = spellings(made).select("form", "own", "spellings")
     rows = made.join(several, ["form", "own"]).select("doc_id", "form", "own")
     other = rows.select(F.col("doc_id").alias("doc_id_b"), F.col("form").alias("f"), F.col("own").alias("o"))
@@ -137,6 +141,6 @@ def look_alike_pairs(documents: DataFrame, id_col: str = "doc_id", text_col: str
 
 def look_alike_classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document of a form with several spellings: its class (smallest id), spellings and size."""
-    made = forms(documents, id_col, text_col)
+    made = Scratch(documents.sparkSession, "forms").write(forms(documents, id_col, text_col), "forms")
     classes = made.groupBy("form").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("members"), F.countDistinct("own").alias("spellings")).where("spellings > 1")
     return made.join(classes, "form").select("doc_id", "class_id", "spellings", "members")

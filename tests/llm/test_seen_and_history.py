@@ -83,7 +83,7 @@ def test_seen_equals_the_model(spark, seed):
     assert {r.image_id for r in made.found().collect()} - {data[5][0]} == seen_model(data[:-1]) - {data[5][0]}
     report = {r.batch_day: r for r in made.report().collect()}
     assert all(r.wrong_answers >= 0 and 0 <= r.wrong_rate_bound < 1e-3 for r in report.values())
-    assert max(r.generations for r in report.values()) == len(report) - 1
+    assert 0 < max(r.generations for r in report.values()) < len(report)
 
 
 def test_sealed_filters_answer_a_new_batch(spark):
