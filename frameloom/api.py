@@ -116,3 +116,23 @@ def health(spark: SparkSession) -> DataFrame:
 def as_json(rows: DataFrame) -> DataFrame:
     """One JSON text per row, nulls left out."""
     return rows.select(F.to_json(F.struct("*")).alias("json"))
+
+
+def results_or_state(images: DataFrame, image_id: str) -> DataFrame | dict:
+    """What a client shows: the results, or that they aren't ready yet and why."""
+    try:
+        return results_of(images, image_id)
+    except NotReady as e:
+        return {"notReady": True, "status": e.status}
+
+
+def failure_or_none(images: DataFrame, image_id: str) -> DataFrame | None:
+    try:
+        return failure_of(images, image_id)
+    except NotReady:
+        return None
+
+
+def unfinished(images: DataFrame) -> DataFrame:
+    """The distinct images a client still polls."""
+    return images.where(F.col("status").isin(S.PENDING, S.PROCESSING)).select("id").distinct()

@@ -44,11 +44,11 @@ def split_manifest(manifest: DataFrame, config: Config) -> tuple[DataFrame, Data
     return judged.where("reason is null").drop("reason"), judged.where("reason is not null")
 
 
-def read_files(spark: SparkSession, directory: str) -> DataFrame:
+def read_files(spark: SparkSession, directory: str | list[str]) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(directory)
 
 
-def read_images(spark: SparkSession, directory: str) -> DataFrame:
+def read_images(spark: SparkSession, directory: str | list[str]) -> DataFrame:
     """Decoded JPEG and PNG pixels; the JVM's decoder gives sizes of -1 for files it can't read, WebP among them."""
     return spark.read.format("image").option("dropInvalid", "false").option("recursiveFileLookup", "true").load(directory).select("image.*")
 
@@ -110,8 +110,8 @@ def with_fingerprint(rows: DataFrame) -> DataFrame:
     return halves.withColumn("perceptual_hash", fingerprint_hex(F.col("ahash_hi"), F.col("ahash_lo")))
 
 
-def extract(spark: SparkSession, directory: str, config: Config) -> DataFrame:
-    """One narrow row per file: name, hash, header and pixel features. File contents and pixels end here."""
+def extract(spark: SparkSession, directory: str | list[str], config: Config) -> DataFrame:
+    """One narrow row per file of a directory or of a list of paths: name, hash, header and pixel features. File contents and pixels end here."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(FILES_PER_BATCH))
     files = read_files(spark, directory).where(F.col("length") <= config.max_upload_bytes)
     heads = files.select(file_name(F.col("path")).alias("stored_filename"), F.sha2("content", 256).alias("sha256_hash"), header_udf()("content").alias("h"))
@@ -119,7 +119,7 @@ def extract(spark: SparkSession, directory: str, config: Config) -> DataFrame:
     return with_fingerprint(heads.join(pixels, "stored_filename", "left").select("stored_filename", "sha256_hash", "h.*", "p.*"))
 
 
-def ingest(spark: SparkSession, manifest: DataFrame, directory: str, config: Config) -> tuple[DataFrame, DataFrame]:
+def ingest(spark: SparkSession, manifest: DataFrame, directory: str | list[str], config: Config) -> tuple[DataFrame, DataFrame]:
     """(accepted pending rows with features, refused rows with ``reason``).
 
     ``manifest`` has the columns of ``schema.MANIFEST``; files are found by ``stored_filename``. Repeated

@@ -14,6 +14,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from frameloom import schema as S
 from frameloom.config import Config
 from frameloom.operators.lifecycle import ATTEMPT_FAILED, ENDED, STARTED, SUCCEEDED
+from frameloom.sources import ingest
 
 RETRY_STATE = T.StructType([T.StructField("attempts", T.IntegerType()), T.StructField("failures", T.IntegerType()), T.StructField("status", T.StringType()), T.StructField("last_seq", T.LongType())])
 RETRY_OUT = T.StructType([T.StructField(n, t) for n, t in (("image_id", T.StringType()), ("seq", T.LongType()), ("status", T.StringType()), ("attempts", T.IntegerType()), ("failures", T.IntegerType()), ("delay_ms", T.LongType()), ("failure_reason", T.StringType()))])
@@ -86,3 +87,21 @@ def append_once(path: str, key: str = "id") -> Callable[[DataFrame, int], None]:
         batch.dropDuplicates([key]).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return write
+
+
+def ingest_stream(spark: SparkSession, directory: str, manifest: DataFrame, sink: str, checkpoint: str, config: Config, per_trigger: int = 64) -> StreamingQuery:
+    """New files become pending rows with features, refused ones rows with a reason; a repeated batch overwrites its own folders.
+
+    The paths of one batch, at most ``per_trigger`` of them, are handed to the decoding source.
+    """
+
+    def each(batch: DataFrame, number: int) -> None:
+        paths = [r.path for r in batch.select("path").collect()]
+        if not paths:
+            return
+        names = batch.select(ingest.file_name(F.col("path")).alias("stored_filename"))
+        pending, refused = ingest.ingest(spark, manifest.join(names, "stored_filename", "left_semi").select(*manifest.columns), paths, config)
+        pending.write.mode("overwrite").parquet(f"{sink}/pending/batch={number}")
+        refused.write.mode("overwrite").parquet(f"{sink}/refused/batch={number}")
+
+    return run_batches(file_stream(spark, directory, per_trigger).select("path"), each, checkpoint)

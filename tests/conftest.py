@@ -2,11 +2,15 @@ import sys
 from pathlib import Path
 
 import pytest
+from hypothesis import settings
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 from frameloom.session import local_session  # noqa: E402
 
+settings.register_profile("steady", deadline=None)
+settings.load_profile("steady")
+
 
 @pytest.fixture(scope="session")
 def spark():

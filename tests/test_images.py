@@ -9,6 +9,7 @@ from frameloom import schema as S
 from frameloom.config import Config
 from frameloom.operators import duplicates, plates, report
 from frameloom.sources import exif, header, ingest, pixels
+from frameloom.streaming import pipeline
 
 
 def noise(seed, w, h):
@@ -92,3 +93,21 @@ def test_files_to_reports(spark, tmp_path):
     documented = ingest.extract(spark, str(d), Config(profile="documented")).where("stored_filename = 'flat.jpg'").first()
     assert documented.ela_n == 600 * 400 * 3 and documented.ela_max <= 2
     assert dict(pending.select(F.col("id"), "perceptual_hash").collect())["flat.jpg"] == "f" * 16
+
+
+def test_files_as_they_arrive(spark, tmp_path):
+    d = tmp_path / "drop"
+    d.mkdir()
+    rows = []
+    for i in range(3):
+        body = png(noise(i, 40, 30))
+        (d / f"{i}.png").write_bytes(body)
+        rows.append((f"id{i}", "n", f"{i}.png", "p", "image/png" if i else "image/gif", len(body), dt.datetime(2019, 3, 1)))
+    manifest = spark.createDataFrame(rows, S.MANIFEST)
+    start = lambda: pipeline.ingest_stream(spark, str(d), manifest, str(tmp_path / "sink"), str(tmp_path / "check"), Config(), 2).awaitTermination()
+    start()
+    (d / "late.png").write_bytes(png(noise(9, 40, 30)))
+    start()
+    pending = spark.read.parquet(str(tmp_path / "sink/pending")).collect()
+    assert sorted(r.id for r in pending) == ["id1", "id2"] and all(r.status == "pending" and r.perceptual_hash for r in pending)
+    assert [r.reason for r in spark.read.parquet(str(tmp_path / "sink/refused")).collect()] == ["unsupported type"]

@@ -126,6 +126,11 @@ def test_point_reads(images):
         api.status_of(images, "x' or '1'='1")
 
 
+def test_client_forms(images):
+    assert api.results_or_state(images, B) == {"notReady": True, "status": "failed"} and api.failure_or_none(images, A) is None
+    assert api.results_or_state(images, A).count() == api.failure_or_none(images, B).count() == 1 and api.unfinished(images).count() == 130
+
+
 def test_health_json_and_acknowledgement(spark, images):
     assert api.health(spark).first().status == "ok"
     assert '"status":"completed"' in api.as_json(api.results_of(images, A)).first().json
