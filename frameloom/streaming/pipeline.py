@@ -19,10 +19,13 @@ from frameloom.sources import ingest
 RETRY_STATE = T.StructType([T.StructField("attempts", T.IntegerType()), T.StructField("failures", T.IntegerType()), T.StructField("status", T.StringType()), T.StructField("last_seq", T.LongType())])
 RETRY_OUT = T.StructType([T.StructField(n, t) for n, t in (("image_id", T.StringType()), ("seq", T.LongType()), ("status", T.StringType()), ("attempts", T.IntegerType()), ("failures", T.IntegerType()), ("delay_ms", T.LongType()), ("failure_reason", T.StringType()))])
 
+# Fixed value: the columns of the binary file source.
+FILE = "path string, modificationTime timestamp, length bigint, content binary"
+
 
 def file_stream(spark: SparkSession, directory: str, per_trigger: int = 64) -> DataFrame:
     """New files of a directory, as they arrive; a bounded number each trigger."""
-    return spark.readStream.format("binaryFile").option("maxFilesPerTrigger", per_trigger).load(directory)
+    return spark.readStream.format("binaryFile").schema(FILE).option("maxFilesPerTrigger", per_trigger).load(directory)
 
 
 def event_stream(spark: SparkSession, directory: str, per_trigger: int = 1) -> DataFrame:
@@ -34,11 +37,12 @@ def distinct_jobs(jobs: DataFrame, late: str = "1 hour", id_col: str = "image_id
     return jobs.withWatermark(time_col, late).dropDuplicatesWithinWatermark([id_col])
 
 
-def retries(events: DataFrame, config: Config) -> DataFrame:
+def retries(events: DataFrame, config: Config, late: str = "1 day") -> DataFrame:
     """State machine per image over its job events: attempts, failures, and the delay or end each failure leads to.
 
     Events of a batch are taken in order of ``seq``; those at or below the last one seen are repeats. State of a
-    finished job expires after the retention time of its outcome.
+    finished job expires after the retention time of its outcome, in event time: a replay gives the same
+    answer whenever it runs, and a bounded run ends (timers of the wall clock would keep it going).
     """
     limit, base, cut = config.max_attempts, config.backoff_ms, config.reason_length
     keep = {S.COMPLETED: config.keep_done_s * 1000, S.FAILED: config.keep_failed_s * 1000}
@@ -48,8 +52,9 @@ def retries(events: DataFrame, config: Config) -> DataFrame:
             state.remove()
             return
         attempts, failures, status, last = state.get if state.exists else (0, 0, S.PENDING, -1)
-        out = []
-        for e in pd.concat(list(batches)).sort_values("seq").itertuples(index=False):
+        out, arrived = [], pd.concat(list(batches)).sort_values("seq")
+        newest = int(arrived["event_at"].max().timestamp() * 1000)
+        for e in arrived.itertuples(index=False):
             if e.seq <= last or status in keep:
                 continue
             last, delay, reason = int(e.seq), None, None
@@ -66,13 +71,14 @@ def retries(events: DataFrame, config: Config) -> DataFrame:
             out.append((key[0], last, status, attempts, failures, delay, reason))
         state.update((attempts, failures, status, last))
         if status in keep:
-            state.setTimeoutDuration(keep[status])
+            state.setTimeoutTimestamp(max(newest + keep[status], state.getCurrentWatermarkMs() + 1))
         if out:
             frame = pd.DataFrame(out, columns=RETRY_OUT.names)
             frame["delay_ms"] = frame["delay_ms"].astype("Int64")
             yield frame
 
-    return events.groupBy("image_id").applyInPandasWithState(step, RETRY_OUT, RETRY_STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = events.withWatermark("event_at", late).groupBy("image_id")
+    return timed.applyInPandasWithState(step, RETRY_OUT, RETRY_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_batches(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
