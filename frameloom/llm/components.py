@@ -3,11 +3,14 @@
 1. Links are made undirected, distinct and free of loops.
 2. From the vertex of highest degree a breadth-first search joins frontier and links, round by
    round; a frontier vertex is emitted once however many links reach it.
-3. Links of the peeled component are removed by an anti-join. If the search is cut
-   off after ``max_rounds`` (a long chain hangs on the giant), what it reached is contracted to one
-   vertex instead and the rest goes through step 4, so the result stays whole.
-4. The remaining components are labelled with their smallest vertex by minimum propagation with
-   label jumping, which needs a number of rounds that follows the logarithm of the longest path.
+3. Links of the peeled component are removed by an anti-join. If the search is cut off, after
+   ``max_rounds`` or when a round reaches less than a hundredth of what is reached already (a long chain
+   hangs on the giant), that is contracted to one vertex instead and the rest goes through step 4,
+   so the result stays whole.
+4. The remaining components are labelled with their smallest vertex by minimum propagation: each
+   vertex takes the smallest label around it, labels jump to their own labels, and links are
+   carried over to the labels, until none joins two of them. Chains shrink by a factor each
+   round, so the number of rounds follows the logarithm of the longest path.
 
 Each round is written to the shared folder; nothing is collected but counts. Vertices are
 16-byte values. A vertex without links is in no group; an empty link table gives none.
@@ -29,6 +32,8 @@ from frameloom.session import Scratch
 UUID = re.compile(r"(?<![0-9a-f])[0-9a-f]{8}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{12}(?![0-9a-f])")
 LINK_TYPES = ("exact", "near_duplicate")
 MAX_ROUNDS = 12
+#: A round of the search that adds less than one part in so many ends it.
+TAIL = 100
 
 
 def read_json(text: str | None):
@@ -111,35 +116,39 @@ def _peel(scratch: Scratch, links: DataFrame, max_rounds: int) -> tuple[DataFram
     ways = _both_ways(links)
     degree = ways.groupBy("a").agg(F.count(F.lit(1)).alias("degree"))
     frontier = scratch.write(degree.orderBy(F.desc("degree"), "a").limit(1).select(F.col("a").alias("v")), "reached-0")
-    reached, done = frontier, False
+    reached, n, done = frontier, 1, False
     for k in range(1, max_rounds + 1):
         ahead = ways.join(frontier.withColumnRenamed("v", "a"), "a", "left_semi").select(F.col("b").alias("v")).distinct()
         frontier = scratch.write(ahead.join(reached, "v", "left_anti"), f"reached-{k}")
-        if frontier.isEmpty():
+        met = frontier.count()
+        if not met:
             done = True
             break
-        reached = reached.union(frontier)
-    return scratch.write(reached, "reached"), done
+        reached, n = reached.union(frontier), n + met
+        if met * TAIL < n:
+            break
+    return reached, done
 
 
 def _spread(scratch: Scratch, links: DataFrame) -> DataFrame:
     """(v, label) with the smallest vertex of each component as label."""
-    ways = _both_ways(links)
-    labels = scratch.write(ways.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("label")).select("v", F.least("v", "label").alias("label")), "labels-0")
-    k, moved = 0, 1
-    while moved:
-        k += 1
-        heard = ways.join(labels.select(F.col("v").alias("b"), "label"), "b").select(F.col("a").alias("v"), "label")
-        lower = labels.union(heard).groupBy("v").agg(F.min("label").alias("label"))
-        lower = scratch.write(lower, f"lower-{k}")
+    steps, left = [], links
+    while not left.isEmpty():
+        k = len(steps)
+        lower = scratch.write(_both_ways(left).groupBy(F.col("a").alias("v")).agg(F.min("b").alias("label")).select("v", F.least("v", "label").alias("label")), f"lower-{k}")
         up = lower.select(F.col("v").alias("label"), F.col("label").alias("next"))
-        jumped = lower.join(up, "label").select("v", F.least("label", "next").alias("label"))
-        old = labels.select("v", F.col("label").alias("before"))
-        new = scratch.write(jumped.join(old, "v").select("v", "label", (F.col("label") != F.col("before")).alias("moved")), f"labels-{k}")
-        moved = new.where("moved").limit(1).count()
-        scratch.drop(f"labels-{k - 1}")
-        scratch.drop(f"lower-{k}")
-        labels = new.select("v", "label")
+        step = scratch.write(lower.join(up, "label").select("v", F.col("next").alias("label")), f"step-{k}")
+        steps.append(step)
+        carried = left
+        for end in ("a", "b"):
+            carried = carried.join(step.withColumnRenamed("v", end), end).withColumn(end, F.col("label")).drop("label")
+        left = scratch.write(undirected(carried), f"left-{k}")
+    if not steps:
+        return links.select(F.col("a").alias("v"), F.col("b").alias("label"))
+    labels = steps[0]
+    for step in steps[1:]:
+        after = step.select(F.col("v").alias("label"), F.col("label").alias("next"))
+        labels = labels.join(after, "label", "left").select("v", F.coalesce("next", "label").alias("label"))
     return labels
 
 
