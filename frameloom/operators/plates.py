@@ -73,14 +73,19 @@ def check(c: Config) -> Column:
     from frameloom.operators.checks import details, verdict
 
     known = F.col("known_plate")
-    text = normalized(F.col("ocr_text"))
-    p = F.when(known.isNotNull(), known_parts(known)).otherwise(parts(text))
-    found = p["plate"].isNotNull()
     error = F.when(known.isNull(), F.col("ocr_error"))
-    seen = details(extractedPlate=p["plate"], stateCode=p["state"], rtoCode=p["rto"], seriesCode=p["series"], uniqueNumber=p["number"], rawMatch=p["raw"])
-    unseen = details(rawOcrTextLength=F.length("ocr_text"), normalizedSample=F.substring(text, 1, c.sample_length))
-    return verdict(
-        S.PLATE, error.isNull() & found, F.when(error.isNotNull(), "low").otherwise("medium"),
-        F.when(error.isNotNull(), details(error=error)).when(found, seen).otherwise(unseen),
-        F.when(error.isNotNull(), F.concat(F.lit("text recognition failed: "), error)).when(found, F.concat(F.lit("plate "), p["plate"])).otherwise("no plate in the text"),
-    )
+
+    def judged(x: Column) -> Column:
+        text, p = x["text"], x["p"]
+        found = p["plate"].isNotNull()
+        seen = details(extractedPlate=p["plate"], stateCode=p["state"], rtoCode=p["rto"], seriesCode=p["series"], uniqueNumber=p["number"], rawMatch=p["raw"])
+        unseen = details(rawOcrTextLength=F.length("ocr_text"), normalizedSample=F.substring(text, 1, c.sample_length))
+        return verdict(
+            S.PLATE, error.isNull() & found, F.when(error.isNotNull(), "low").otherwise("medium"),
+            F.when(error.isNotNull(), details(error=error)).when(found, seen).otherwise(unseen),
+            F.when(error.isNotNull(), F.concat(F.lit("text recognition failed: "), error)).when(found, F.concat(F.lit("plate "), p["plate"])).otherwise("no plate in the text"),
+        )
+
+    # Bound by lambdas, so that the text is normalised and matched once a row and not at each use.
+    read = F.transform(F.array(normalized(F.col("ocr_text"))), lambda t: F.struct(t.alias("text"), F.when(known.isNotNull(), known_parts(known)).otherwise(parts(t)).alias("p")))
+    return F.get(F.transform(read, judged), F.lit(0))
