@@ -6,80 +6,52 @@ a subtree is stored once however many reports hold it:
 
 - ``reports``  (image_id, overall_status, n_issues, n_checks, confidence_score): one row a report
 - ``checks``   (image_id, check_pos, check_name, passed, severity, message): its elements
-- ``details``  (image_id, check_pos, node, shape): each readable detail tree names its check and root
-- ``objects``  (node, shape, kind, n_children): each distinct object or list once
+- ``details``  (image_id, check_pos, node): each readable detail tree names its check and its root
+- ``objects``  (node, kind, n_children): each distinct object or list once
 - ``bridge``   (parent, ordinal, key, child, value_type, value): its children in order, by key or by
   position; ``child`` names a subtree, else the scalar itself stands there
-- ``shapes``   (shape, paths): a second Merkle hash over keys and nesting alone; the paths of its scalars
+- ``occurrences`` (image_id, check_pos, prefix, node): every place at which a subtree with scalars stands
+- ``values``   (image_id, check_pos, path, value_type, value): every scalar, from occurrences and bridge
+
+The walk from roots down to all occurrences doubles its reach each round: a table of steps of length
+2**k is joined with itself, so that the rounds follow the logarithm of the depth. A subtree whose only child is a
+subtree is passed through: the row above names, beside its child, the next node ``to`` at which something else stands,
+and the path ``via`` to it.
 
 Defined cases. ``check_pos`` counts from 0 and counts null elements. Details are readable if
-the text is JSON (NaN and infinities are not), or a JSON string that holds JSON. Null, unreadable and
-scalar details have no tree; empty objects and lists are trees without scalars. Of a key that
-repeats within an object the last value holds. Trees nested too deep for the parser count as unreadable. Reports that
+the text is JSON (NaN and infinities are not), or a JSON string that holds JSON, at any depth and with
+numbers of any length. Null, unreadable and scalar details have no tree; empty objects and lists are trees without scalars.
+Of a key that repeats within an object the last value holds. Scores that are not a number are null. Reports that
 are null have no rows; reports without checks only a report row. Repeated input rows give
-repeated rows in ``reports``, ``checks`` and ``details``.
+repeated rows in ``reports``, ``checks``, ``details`` and what follows from it.
 """
 
 from __future__ import annotations
 
-import hashlib
-import json
+import sys
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from frameloom.functions.details import LongNumber, read_details
+from frameloom.operators.skew import salted
 from frameloom.session import Scratch
 
-MEMO_TEXTS = 100_000
-MEMO_NODES = 500_000
+#: Bounds of what a worker remembers: characters of texts, and identities of 16 bytes.
+MEMO_CHARACTERS = 16_000_000
+MEMO_NODES = 400_000
+#: Rows of subtrees after which a worker hands on what it has.
+FLUSH_CHILDREN = 100_000
+DEEPEST = 10_000_000
 
-#: One row layout for all tables that a single pass over the details writes.
+CHILD = pa.struct([("key", pa.string()), ("child", pa.binary()), ("to", pa.binary()), ("via", pa.string()), ("more", pa.bool_()), ("value_type", pa.string()), ("value", pa.string())])
 LAYOUT = pa.schema(
-    [
-        ("tab", pa.string()),
-        ("image_id", pa.string()),
-        ("check_pos", pa.int32()),
-        ("node", pa.binary()),
-        ("shape", pa.binary()),
-        ("kind", pa.string()),
-        ("n_children", pa.int32()),
-        ("ordinal", pa.int32()),
-        ("key", pa.string()),
-        ("child", pa.binary()),
-        ("value_type", pa.string()),
-        ("value", pa.string()),
-        ("paths", pa.list_(pa.string())),
-    ]
+    [("image_id", pa.string()), ("check_pos", pa.int32()), ("node", pa.binary()), ("to", pa.binary()), ("via", pa.string()), ("more", pa.bool_()), ("kind", pa.string()), ("children", pa.list_(CHILD))]
 )
-DDL = "tab string, image_id string, check_pos int, node binary, shape binary, kind string, n_children int, ordinal int, key string, child binary, value_type string, value string, paths array<string>"
-COLUMNS = {
-    "details": ["image_id", "check_pos", "node", "shape"],
-    "objects": ["node", "shape", "kind", "n_children"],
-    "bridge": ["node", "ordinal", "key", "child", "value_type", "value"],
-    "shapes": ["shape", "paths"],
-}
-
-
-def _refuse(name: str):
-    raise ValueError(name)
-
-
-_decode = json.JSONDecoder(parse_constant=_refuse).decode
-
-
-def read_details(text: str | None):
-    """The object or list that a details text holds, or None."""
-    if not text:
-        return None
-    try:
-        value = _decode(text)
-        if isinstance(value, str):
-            value = _decode(value)
-    except (ValueError, RecursionError):
-        return None
-    return value if isinstance(value, (dict, list)) else None
+DDL = "image_id string, check_pos int, node binary, `to` binary, via string, more boolean, kind string, children array<struct<key:string,child:binary,to:binary,via:string,more:boolean,value_type:string,value:string>>"
 
 
 def _clean(text: str) -> str:
@@ -88,175 +60,254 @@ def _clean(text: str) -> str:
 
 
 def _scalar(value) -> tuple[str, str | None]:
+    kind = type(value)
+    if kind is str:
+        return "string", value if value.isascii() else _clean(value)
+    if kind is bool:
+        return "boolean", "true" if value else "false"
     if value is None:
         return "null", None
-    if value is True or value is False:
-        return "boolean", "true" if value else "false"
-    if isinstance(value, str):
-        return "string", _clean(value)
-    return "number", repr(value)
+    return "number", str(value) if kind is LongNumber else repr(value)
+
+
+class Seen:
+    """What is known of a subtree: its identity; how many scalars stand below; the way to the next branching."""
+
+    __slots__ = ("node", "scalars", "more", "to", "way")
 
+    def __init__(self, node: bytes, scalars: bool, more: bool, only: tuple[str, Seen] | None):
+        self.node, self.scalars = node, scalars
+        if only is None:
+            self.to, self.more, self.way = node if scalars else None, more, None
+        else:
+            step, below = only
+            self.to, self.more, self.way = below.to, below.more, (step, below.way)
 
-def _digest(parts: list[bytes]) -> bytes:
-    """Hash of length-prefixed parts, so that no two lists of parts run together."""
-    h = hashlib.blake2b(digest_size=16)
-    for p in parts:
-        h.update(len(p).to_bytes(4, "little") + p)
-    return h.digest()
+    def via(self) -> str:
+        steps, way = [], self.way
+        while way is not None:
+            steps.append(way[0])
+            way = way[1]
+        return "".join(steps)
 
 
 class Subtrees:
-    """Identities of subtrees, and the rows of those not met before."""
+    """Identities of subtrees, and the rows of those not met before, column by column."""
 
     def __init__(self):
         self.met: set[bytes] = set()
-        self.objects: list[tuple] = []
-        self.bridge: list[tuple] = []
-
-    def add(self, value: dict | list) -> tuple[bytes, bytes, list[str]]:
-        """(identity, shape, paths of the scalars) of an object or list; children come first."""
-        is_object = isinstance(value, dict)
-        children = sorted(value.items()) if is_object else enumerate(value)
-        own, form, paths, rows = [b"{" if is_object else b"["], [b"{" if is_object else b"["], [], []
-        for ordinal, (key, held) in enumerate(children):
-            if is_object:
-                key = _clean(key)
-                own.append(key.encode())
-                form.append(key.encode())
-                step = key
+        self._clear()
+
+    def _clear(self) -> None:
+        self.nodes, self.kinds, self.ends = [], [], [0]
+        self.keys, self.types, self.texts = [], [], []
+        #: Place among the children, identity, and where the walk goes on: for the children that are subtrees.
+        self.links: list[tuple] = []
+
+    def add(self, value: dict | list) -> Seen:
+        if type(value) is dict:
+            children = sorted(value.items())
+            keys = [k if k.isascii() else _clean(k) for k, _ in children]
+            held = [v for _, v in children]
+            own = ["{", *[f"{len(k)}:{k}" for k in keys]]
+        else:
+            keys, held, own = None, value, ["["]
+        types, texts, below = [], [], []
+        for v in held:
+            if type(v) is dict or type(v) is list:
+                seen = self.add(v)
+                below.append((len(types), seen))
+                own.append("#" + seen.node.hex())
+                types.append(None)
+                texts.append(None)
             else:
-                key, step = None, f"[{ordinal}]"
-            if isinstance(held, (dict, list)):
-                child, shape, below = self.add(held)
-                own.append(child)
-                form.append(shape)
-                paths.extend(step + p if isinstance(held, list) else f"{step}.{p}" for p in below)
-                rows.append((ordinal, key, child, None, None))
-            else:
-                kind, text = _scalar(held)
-                own.append(kind.encode() + b":" + (text or "").encode())
-                form.append(b"")
-                paths.append(step)
-                rows.append((ordinal, key, None, kind, text))
-        node, shape = _digest(own), _digest(form)
+                kind, text = _scalar(v)
+                own.append(kind if text is None else f"{kind}{len(text)}:{text}")
+                types.append(kind)
+                texts.append(text)
+        node = blake2b("\0".join(own).encode(), digest_size=16).digest()
+        more = any(seen.scalars for _, seen in below)
+        only = None
+        if more and len(types) == 1:
+            only = ("[0]" if keys is None else f".{keys[0]}", below[0][1])
         if node not in self.met:
             if len(self.met) >= MEMO_NODES:
                 self.met.clear()
             self.met.add(node)
-            self.objects.append((node, shape, "object" if is_object else "list", len(rows)))
-            self.bridge.extend((node, *r) for r in rows)
-        return node, shape, paths
-
-    def take(self) -> tuple[list[tuple], list[tuple]]:
-        out = self.objects, self.bridge
-        self.objects, self.bridge = [], []
-        return out
-
-
-def _batch(tab: str, columns: dict[str, list]) -> pa.RecordBatch:
-    n = len(next(iter(columns.values())))
-    arrays = [pa.array([tab] * n, pa.string()) if f.name == "tab" else pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in LAYOUT]
-    return pa.RecordBatch.from_arrays(arrays, schema=LAYOUT)
+            at = len(self.types)
+            self.keys += [None] * len(types) if keys is None else keys
+            self.types += types
+            self.texts += texts
+            for place, seen in below:
+                self.links.append((at + place, seen.node, *((seen.to, seen.via(), seen.more) if seen.scalars and only is None else (None, None, None))))
+            self.nodes.append(node)
+            self.kinds.append("list" if keys is None else "object")
+            self.ends.append(len(self.types))
+        return Seen(node, more or len(types) > len(below), more, only)
+
+    def waiting(self) -> int:
+        return self.ends[-1]
+
+    def take(self) -> pa.RecordBatch | None:
+        """The rows of new subtrees, which are then forgotten; their identities are not."""
+        if not self.nodes:
+            return None
+        linked = {n: [None] * len(self.types) for n in ("child", "to", "via", "more")}
+        for place, *link in self.links:
+            for column, v in zip(linked.values(), link):
+                column[place] = v
+        columns = {"key": self.keys, **linked, "value_type": self.types, "value": self.texts}
+        held = pa.StructArray.from_arrays([pa.array(columns[f.name], f.type) for f in CHILD], fields=list(CHILD))
+        children = pa.ListArray.from_arrays(pa.array(self.ends, pa.int32()), held)
+        made = _batch({"node": pa.array(self.nodes, pa.binary()), "kind": pa.array(self.kinds, pa.string()), "children": children})
+        self._clear()
+        return made
+
+
+def _batch(columns: dict[str, pa.Array]) -> pa.RecordBatch:
+    n = len(columns["node"])
+    return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(n, f.type) for f in LAYOUT], schema=LAYOUT)
 
 
 def _flatten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    trees, known, shapes_met = Subtrees(), {}, set()
+    """Rows of details (kind is null) and of subtrees; the calls go as deep as a tree, on the heap and not on the stack."""
+    limit = sys.getrecursionlimit()
+    trees, known, characters = Subtrees(), {}, 0
+
+    def read(text: str) -> tuple | None:
+        tree = read_details(text)
+        if tree is None:
+            return None
+        sys.setrecursionlimit(DEEPEST)
+        try:
+            seen = trees.add(tree)
+        finally:
+            sys.setrecursionlimit(limit)
+        return seen.node, seen.to, seen.via() if seen.to is not None else None, seen.more
+
     for batch in batches:
-        ids, positions, nodes, forms = [], [], [], []
-        shapes: dict[bytes, list[str]] = {}
+        images, places, roots = [], [], []
         for image_id, texts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             for pos, text in enumerate(texts):
                 if text is None:
                     continue
-                found = known.get(text)
-                if found is None:
-                    tree = read_details(text)
-                    try:
-                        found = (None, None) if tree is None else None
-                        if found is None:
-                            node, shape, paths = trees.add(tree)
-                            found = node, shape
-                            if shape not in shapes_met:
-                                shapes_met.add(shape)
-                                shapes[shape] = paths
-                    except RecursionError:
-                        found = (None, None)
-                    if len(known) >= MEMO_TEXTS:
+                found = known.get(text, 0)
+                if found == 0:
+                    characters += len(text)
+                    if characters > MEMO_CHARACTERS:
                         known.clear()
-                    known[text] = found
-                if found[0] is not None:
-                    ids.append(image_id)
-                    positions.append(pos)
-                    nodes.append(found[0])
-                    forms.append(found[1])
-        if ids:
-            yield _batch("details", {"image_id": ids, "check_pos": positions, "node": nodes, "shape": forms})
-        objects, bridge = trees.take()
-        if objects:
-            yield _batch("objects", dict(zip(COLUMNS["objects"], map(list, zip(*objects)))))
-        if bridge:
-            yield _batch("bridge", dict(zip(COLUMNS["bridge"], map(list, zip(*bridge)))))
-        if shapes:
-            yield _batch("shapes", {"shape": list(shapes), "paths": list(shapes.values())})
+                        characters = len(text)
+                    known[text] = found = read(text)
+                    if trees.waiting() > FLUSH_CHILDREN:
+                        yield trees.take()
+                if found is not None:
+                    images.append(image_id)
+                    places.append(pos)
+                    roots.append(found)
+        if roots:
+            yield _batch({n: pa.array(c, LAYOUT.field(n).type) for n, c in zip(("image_id", "check_pos", "node", "to", "via", "more"), (images, places, *zip(*roots)))})
+        made = trees.take()
+        if made is not None:
+            yield made
+
+
+def _step(key: Column, ordinal: Column) -> Column:
+    return F.when(key.isNull(), F.concat(F.lit("["), ordinal.cast("string"), F.lit("]"))).otherwise(F.concat(F.lit("."), key))
 
 
 class NestedReports:
     """The flat tables of a table of reports. One pass over the details writes all their tables."""
 
     def __init__(self, rows: DataFrame, id_col: str = "id", report_col: str = "analysis_result"):
-        self.rows = rows.select(F.col(id_col).alias("image_id"), F.col(report_col).alias("report")).where(F.col("report").isNotNull())
+        self.rows = rows.select(F.col(id_col).cast("string").alias("image_id"), F.col(report_col).alias("report")).where(F.col("report").isNotNull())
+        self.scratch = Scratch(rows.sparkSession, "nested")
         self._written: DataFrame | None = None
+        self._occurrences: DataFrame | None = None
 
     def reports(self) -> DataFrame:
+        score = F.col("report.confidence_score")
         return self.rows.select(
             "image_id",
             F.col("report.overall_status").alias("overall_status"),
             F.size(F.coalesce("report.issues_found", F.array().cast("array<string>"))).alias("n_issues"),
             F.when(F.col("report.checks").isNotNull(), F.size("report.checks")).alias("n_checks"),
-            F.col("report.confidence_score").alias("confidence_score"),
+            F.when(~F.isnan(score), score).alias("confidence_score"),
         )
 
     def checks(self) -> DataFrame:
         flat = self.rows.select("image_id", F.posexplode("report.checks").alias("check_pos", "c")).where(F.col("c").isNotNull())
         return flat.select("image_id", "check_pos", F.col("c.check").alias("check_name"), "c.passed", "c.severity", "c.message")
 
-    def _table(self, name: str) -> DataFrame:
+    def _raw(self) -> DataFrame:
         if self._written is None:
             texts = self.rows.where(F.col("report.checks").isNotNull()).select("image_id", F.transform("report.checks", lambda c: c["details_json"]).alias("texts"))
-            self._written = Scratch(self.rows.sparkSession, "nested").write(texts.mapInArrow(_flatten, DDL), "tables", ["tab"])
-        return self._written.where(F.col("tab") == name).select(*COLUMNS[name])
+            self._written, self._counts = self.scratch.write_counted(texts.mapInArrow(_flatten, DDL), "tables", details=F.count("check_pos"), more=F.count_if(F.col("kind").isNull() & F.col("more")))
+        return self._written
+
+    def _met(self) -> DataFrame:
+        """Subtrees as tasks met them: one that several tasks met stands there several times."""
+        return self._raw().where(F.col("kind").isNotNull())
 
     def details(self) -> DataFrame:
-        return self._table("details")
+        return self._raw().where(F.col("kind").isNull()).select("image_id", "check_pos", "node")
 
     def objects(self) -> DataFrame:
         """Each distinct subtree once: what tasks met apart is brought together by its hash."""
-        return self._table("objects").groupBy("node").agg(*(F.first(c).alias(c) for c in COLUMNS["objects"][1:]))
+        made = self._met().select("node", "kind", F.size("children.child").alias("n_children"))
+        return made.groupBy("node").agg(F.first("kind").alias("kind"), F.first("n_children").alias("n_children"))
 
     def bridge(self) -> DataFrame:
-        return self._table("bridge").groupBy(F.col("node").alias("parent"), "ordinal").agg(*(F.first(c).alias(c) for c in COLUMNS["bridge"][2:]))
-
-    def shapes(self) -> DataFrame:
-        return self._table("shapes").groupBy("shape").agg(F.first("paths").alias("paths"))
+        once = self._met().select("node", "children").dropDuplicates(["node"])
+        rows = once.select(F.col("node").alias("parent"), F.posexplode("children").alias("ordinal", "c"))
+        return rows.select("parent", "ordinal", "c.key", "c.child", "c.value_type", "c.value")
+
+    def _steps(self) -> DataFrame:
+        """(node, path, to, more): the steps from a subtree to the next ones with scalars, each once."""
+        met = self._met().where(F.exists("children.to", lambda t: t.isNotNull()))
+        flat = met.select("node", F.posexplode(F.arrays_zip("children.key", "children.to", "children.via", "children.more")).alias("ordinal", "c")).where("c.`to` is not null")
+        c = F.col("c")
+        return flat.select("node", F.concat(_step(c["key"], F.col("ordinal")), c["via"]).alias("path"), c["to"].alias("to"), c["more"].alias("more")).dropDuplicates(["node", "path"])
+
+    def occurrences(self) -> DataFrame:
+        """(image_id, check_pos, prefix, node) of every place of a subtree that holds scalars or branches."""
+        if self._occurrences is not None:
+            return self._occurrences
+        roots = self._raw().where(F.col("kind").isNull() & F.col("to").isNotNull())
+        found = roots.select("image_id", "check_pos", F.col("via").alias("prefix"), F.col("to").alias("node"), "more")
+        rows, open_, more = self._counts["details"], self._counts["more"], F.count_if("more")
+        steps, n = self.scratch.write_counted(self._steps(), "steps-0", more=more)
+        k = 0
+        while n["n"]:
+            mine, theirs = salted(found.where("more"), steps.withColumnRenamed("more", "on"), "node", F.struct("image_id", "check_pos", "prefix"), open_)
+            down = mine.join(theirs, ["node", "_salt"]).select("image_id", "check_pos", F.concat("prefix", "path").alias("prefix"), F.col("to").alias("node"), F.col("on").alias("more"))
+            down, met = self.scratch.write_counted(down, f"found-{k}", more=more)
+            found, rows, open_ = found.union(down), rows + met["n"], open_ + met["more"]
+            if not n["more"]:
+                break
+            # Steps twice as long; those that end at a subtree without steps of its own end here.
+            after = steps.select(F.col("node").alias("to"), F.col("path").alias("further"), F.col("to").alias("end"), F.col("more").alias("on"))
+            mine, theirs = salted(steps.where("more"), after, "to", F.struct("node", "path"), n["more"])
+            longer = mine.join(theirs, ["to", "_salt"]).select("node", F.concat("path", "further").alias("path"), F.col("end").alias("to"), F.col("on").alias("more"))
+            k += 1
+            steps, n = self.scratch.write_counted(longer, f"steps-{k}", more=more)
+            self.scratch.drop(f"steps-{k - 1}")
+        self._occurrences, self._total = found.select("image_id", "check_pos", "prefix", "node"), rows
+        return self._occurrences
+
+    def _scalars(self, *fields: str) -> DataFrame:
+        """Every occurrence joins the bridge rows of its subtree, of which only the asked-for fields are read."""
+        held = F.arrays_zip(*[f"children.{f}" for f in ("key", "value_type", *fields)])
+        places = self.occurrences()
+        mine, theirs = salted(places, self._met().select("node", held.alias("c")), "node", F.struct("image_id", "check_pos", "prefix"), self._total)
+        once = theirs.groupBy("node", "_salt").agg(F.first("c").alias("c"))
+        flat = mine.join(once, ["node", "_salt"]).select("image_id", "check_pos", "prefix", F.posexplode("c").alias("ordinal", "c")).where("c.value_type is not null")
+        path = F.concat("prefix", _step(F.col("c.key"), F.col("ordinal")))
+        return flat.select("image_id", "check_pos", F.when(path.startswith("."), F.substring(path, 2, 2**31 - 1)).otherwise(path).alias("path"), *[F.col(f"c.{f}") for f in ("value_type", *fields)])
 
     def paths(self) -> DataFrame:
-        """(image_id, check_pos, path) of each scalar: every occurrence joins its shape, which is stored once."""
-        return self.details().join(self.shapes(), "shape").select("image_id", "check_pos", F.explode("paths").alias("path"))
+        """(image_id, check_pos, path) of each scalar: ``values`` without reading the values."""
+        return self._scalars().select("image_id", "check_pos", "path")
 
     def values(self) -> DataFrame:
-        """(image_id, check_pos, path, value_type, value): distinct roots walk down the bridge level by level."""
-        scratch = Scratch(self.rows.sparkSession, "values")
-        bridge = scratch.write(self.bridge(), "bridge")
-        front = self.details().select(F.col("node").alias("root"), F.col("node").alias("parent"), F.lit(None).cast("string").alias("prefix")).distinct()
-        found, level = None, 0
-        while True:
-            position = F.concat(F.coalesce("prefix", F.lit("")), F.lit("["), F.col("ordinal").cast("string"), F.lit("]"))
-            step = F.when(F.col("key").isNull(), position).when(F.col("prefix").isNull(), F.col("key")).otherwise(F.concat_ws(".", "prefix", "key"))
-            down = scratch.write(front.join(bridge, "parent").select("root", step.alias("path"), "child", "value_type", "value"), f"level-{level}")
-            scalars = down.where("child is null").select("root", "path", "value_type", "value")
-            found = scalars if found is None else found.union(scalars)
-            if down.where("child is not null").isEmpty():
-                break
-            front = down.where("child is not null").select("root", F.col("child").alias("parent"), F.col("path").alias("prefix"))
-            level += 1
-        return self.details().select("image_id", "check_pos", F.col("node").alias("root")).join(found, "root").select("image_id", "check_pos", "path", "value_type", "value")
+        """(image_id, check_pos, path, value_type, value) of each scalar."""
+        return self._scalars("value").select("image_id", "check_pos", "path", "value_type", "value")

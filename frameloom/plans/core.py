@@ -74,7 +74,7 @@ def p4_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT id AS image_id, analysis_result.overall_status AS overall_status, coalesce(len(analysis_result.issues_found), 0)::INTEGER AS n_issues,
-  len(analysis_result.checks)::INTEGER AS n_checks, analysis_result.confidence_score AS confidence_score FROM image WHERE analysis_result IS NOT NULL""")
+  len(analysis_result.checks)::INTEGER AS n_checks, CASE WHEN NOT isnan(analysis_result.confidence_score) THEN analysis_result.confidence_score END AS confidence_score FROM image WHERE analysis_result IS NOT NULL""")
 def p4_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return NestedReports(table(spark, sf_dir, "image")).reports()
 
@@ -85,12 +85,23 @@ def p4_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return NestedReports(table(spark, sf_dir, "image")).checks()
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT id AS image_id, (generate_subscripts(analysis_result.checks, 1) - 1)::INTEGER AS check_pos, unnest(analysis_result.checks).details_json AS j FROM image),
+  one AS (SELECT j::JSON AS j FROM e WHERE json_valid(j)),
+  two AS (SELECT CASE WHEN json_type(j) = 'VARCHAR' THEN CASE WHEN json_valid(j->>'$') THEN (j->>'$')::JSON END ELSE j END AS j FROM one),
+  texts AS (SELECT j::VARCHAR AS j, count(*) AS n FROM two WHERE json_type(j) IN ('OBJECT', 'ARRAY') GROUP BY 1),
+  node AS (SELECT row_number() OVER () AS root, j, n, TRUE AS top FROM texts),
+  down AS (SELECT root, j::JSON AS j, n, TRUE AS top FROM node
+           UNION ALL SELECT down.root, x.value::JSON, down.n, FALSE FROM down, json_each(down.j) AS x WHERE x.type IN ('OBJECT', 'ARRAY')),
+  made AS (SELECT DISTINCT j::VARCHAR AS j FROM down),
+  form AS (SELECT made.j, json_type(made.j::JSON) AS kind, json_array_length(CASE WHEN json_type(made.j::JSON) = 'ARRAY' THEN made.j ELSE json_keys(made.j::JSON)::JSON END) AS n_children,
+                  (SELECT string_agg(concat(t.fullkey, chr(1), t.type, chr(1), CASE WHEN t.type IN ('OBJECT', 'ARRAY') THEN '' WHEN t.type = 'DOUBLE' THEN t.atom::DOUBLE::VARCHAR ELSE coalesce(t.atom::VARCHAR, '') END), chr(2) ORDER BY t.fullkey) FROM json_tree(made.j::JSON) AS t) AS canon FROM made),
+  uses AS (SELECT f.canon, sum(d.n) FILTER (d.top) AS details FROM down d JOIN form f ON d.j::VARCHAR = f.j GROUP BY 1)
+  SELECT CASE any_value(kind) WHEN 'OBJECT' THEN 'object' ELSE 'list' END AS kind, any_value(n_children)::INTEGER AS n_children, coalesce(any_value(uses.details), 0)::BIGINT AS details FROM form JOIN uses USING (canon) GROUP BY canon""")
 def p4_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each distinct subtree once, with the number of details that are it."""
+    """Each distinct subtree once, with the number of details that are it; identities themselves are no SQL's."""
     made = NestedReports(table(spark, sf_dir, "image"))
     uses = made.details().groupBy("node").agg(F.count(F.lit(1)).alias("details"))
-    return made.objects().join(uses, "node", "left").select(F.lower(F.hex("node")).alias("node"), "kind", "n_children", F.coalesce("details", F.lit(0)).alias("details"))
+    return made.objects().join(uses, "node", "left").select("kind", "n_children", F.coalesce("details", F.lit(0)).alias("details"))
 
 
 # -- reports, checks, scores ------------------------------------------------------------------------
@@ -366,7 +377,7 @@ def status_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "image").select(*api.status_columns())
 
 
-@query("SELECT id, status, processed_at, analysis_result.confidence_score AS confidence_score FROM image WHERE status = 'completed'")
+@query("SELECT id, status, processed_at, CASE WHEN NOT isnan(analysis_result.confidence_score) THEN analysis_result.confidence_score END AS confidence_score FROM image WHERE status = 'completed'")
 def results_ready(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "image").where(F.col("status") == S.COMPLETED).select("id", "status", "processed_at", F.col("analysis_result.confidence_score").alias("confidence_score"))
 

@@ -8,13 +8,15 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
-#: Folders made for sessions that name none, by application.
+#: Folders made for sessions that name none, and all scratch folders, by application.
 _own: dict[str, str] = {}
+_roots: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,16 +37,25 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[context.applicationId]
 
 
+def _file_system(spark: SparkSession, where: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
 class Scratch:
     """Tables in the shared folder: written once, read as often as needed, replicated by the store.
 
     A written table survives the loss of executors and cuts the lineage, which a
-    cached or locally checkpointed one does not.
+    cached or locally checkpointed one does not. Operators drop what only they read; the tables that a result still
+    reads stay until ``release`` or the end of the driver, which removes them.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+        _roots.setdefault(spark.sparkContext.applicationId, []).append(self.root)
+        system, path = _file_system(spark, self.root)
+        system.deleteOnExit(path)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -56,11 +67,23 @@ class Scratch:
         writer.parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def write_counted(self, df: DataFrame, name: str, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
+        """``write`` that also gives the row count ``n`` and other counts, taken while writing."""
+        seen = Observation()
+        made = self.write(df.observe(seen, F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in counts.items()]), name)
+        return made, {k: v or 0 for k, v in seen.get.items()}
+
     def drop(self, name: str) -> None:
         """Remove a table nothing reads any more."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        system, path = _file_system(self.spark, self.path(name))
+        system.delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Remove all scratch tables of this application; results that read them must have been consumed."""
+    for root in _roots.pop(spark.sparkContext.applicationId, []):
+        system, path = _file_system(spark, root)
+        system.delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,8 +1,11 @@
 import json
 
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 
-from frameloom.operators.nested import NestedReports, Subtrees, read_details
+from frameloom.functions.details import patient_decode, read_details, read_json
+from frameloom.operators.nested import NestedReports, Subtrees
 
 CHECK = "array<struct<`check`:string,passed:boolean,severity:string,details_json:string,message:string>>"
 DDL = f"id string, analysis_result struct<overall_status:string,issues_found:array<string>,checks:{CHECK},confidence_score:double>, image_id string"
@@ -76,14 +79,44 @@ def test_empty_table(spark):
     assert made.paths().count() == 0 and made.values().count() == 0 and made.objects().count() == 0
 
 
-def test_very_deep_and_very_long_details_do_not_crash(spark):
-    deep, wide = "[" * 100_000 + "]" * 100_000, json.dumps({"k": list(range(20_000))})
-    made = NestedReports(spark.createDataFrame([("i", report(deep, wide), None)], DDL))
-    assert made.paths().count() == 20_000
+def test_very_deep_and_very_long_details_are_kept(spark):
+    comb, bottom = '{"a":1,"b":' * 1200 + "2" + "}" * 1200, "[" * 100_000 + "7" + "]" * 100_000
+    wide, long = json.dumps({"k": list(range(20_000))}), '{"n":' + "9" * 6000 + "}"
+    made = NestedReports(spark.createDataFrame([("i", report("[" * 100_000 + "]" * 100_000, bottom, comb, wide, long), None)], DDL))
+    paths = [(r.check_pos, r.path) for r in made.paths().collect()]
+    assert sorted({p for p, _ in paths}) == [1, 2, 3, 4] and len(paths) == 1 + 1201 + 20_000 + 1
+    assert (1, "[0]" * 100_000) in paths and (2, "b." * 1199 + "b") in paths and (2, "b." * 1199 + "a") in paths
+    assert {v.value for v in made.values().where("check_pos = 4").collect()} == {"9" * 6000}
+
+
+@given(st.recursive(st.none() | st.booleans() | st.integers() | st.floats(allow_nan=False, allow_infinity=False) | st.text(max_size=5), lambda x: st.lists(x, max_size=4) | st.dictionaries(st.text(max_size=3), x, max_size=4), max_leaves=12), st.integers(0, 80), st.sampled_from(["", ",", "]", "}", '"', " ", "x", "0"]))
+def test_patient_reader_equals_the_library(value, at, noise):
+    text = json.dumps(value, indent=1)
+    text = text[:at] + noise + text[at:]
+
+    def read(f):
+        try:
+            return repr(f(text))
+        except ValueError:
+            return "refused"
+
+    assert read(patient_decode) == read(lambda t: json.loads(t, parse_constant=lambda n: [][1:] or json.loads("")))
+
+
+def test_what_counts_as_json():
+    assert read_json("NaN") is None and read_json('{"a":Infinity}') is None and read_json('"[1]"') == [1] and read_json(None) is None and read_details("3") is None
+    assert read_json("9" * 6000) == "9" * 6000 and read_details('"' + '{\\"a\\":1}' + '"') == {"a": 1}
+
+
+@pytest.mark.parametrize("share", [1, 3])
+def test_a_hot_subtree_is_spread_and_loses_nothing(spark, share):
+    rows = [(f"i{k}", report('{"hot":{"x":[1,{"y":2}]}}' if k % share == 0 else f'{{"k":{k}}}'), None) for k in range(3000)]
+    made = NestedReports(spark.createDataFrame(rows, DDL).repartition(3))
+    assert sorted(map(tuple, made.paths().collect())) == sorted((i, 0, p) for i, r, _ in rows for p, _ in walk(read_details(r[2][0][3])))
 
 
 def test_identity_separates_types_and_places():
     t = Subtrees()
     values = [{"a": 1}, {"a": "1"}, {"a": None}, {"a": "null"}, {"a": True}, {"a": 1.0}, [1], {"0": 1}, {"a": {}}, {"a": []}, {"a": {"b": 1}}, {"a.b": 1}]
-    nodes = [t.add(v)[0] for v in values]
+    nodes = [t.add(v).node for v in values]
     assert len(set(nodes)) == len(values)
