@@ -14,9 +14,8 @@ a subtree is stored once however many reports hold it:
 - ``values``   (image_id, check_pos, path, value_type, value): every scalar, from occurrences and bridge
 
 The walk from roots down to all occurrences doubles its reach each round: a table of steps of length
-2**k is joined with itself, so that the rounds follow the logarithm of the depth. A subtree whose only child is a
-subtree is passed through: the row above names, beside its child, the next node ``to`` at which something else stands,
-and the path ``via`` to it.
+2**k is joined with itself, so that the rounds follow the logarithm of the depth. A step leads from a subtree to the next
+ones below that hold scalars of their own, through those that only hold subtrees.
 
 Defined cases. ``check_pos`` counts from 0 and counts null elements. Details are readable if
 the text is JSON (NaN and infinities are not), or a JSON string that holds JSON, at any depth and with
@@ -47,11 +46,10 @@ MEMO_NODES = 400_000
 FLUSH_CHILDREN = 100_000
 DEEPEST = 10_000_000
 
-CHILD = pa.struct([("key", pa.string()), ("child", pa.binary()), ("to", pa.binary()), ("via", pa.string()), ("more", pa.bool_()), ("value_type", pa.string()), ("value", pa.string())])
-LAYOUT = pa.schema(
-    [("image_id", pa.string()), ("check_pos", pa.int32()), ("node", pa.binary()), ("to", pa.binary()), ("via", pa.string()), ("more", pa.bool_()), ("kind", pa.string()), ("children", pa.list_(CHILD))]
-)
-DDL = "image_id string, check_pos int, node binary, `to` binary, via string, more boolean, kind string, children array<struct<key:string,child:binary,to:binary,via:string,more:boolean,value_type:string,value:string>>"
+CHILD = pa.struct([("key", pa.string()), ("child", pa.binary()), ("more", pa.bool_()), ("value_type", pa.string()), ("value", pa.string())])
+#: Rows of details have no kind, those of subtrees "object" or "list"; rows of kind "steps" lead from a subtree (node) along a path (key) to others (child).
+LAYOUT = pa.schema([("image_id", pa.string()), ("check_pos", pa.int32()), ("node", pa.binary()), ("more", pa.bool_()), ("kind", pa.string()), ("children", pa.list_(CHILD))])
+DDL = "image_id string, check_pos int, node binary, more boolean, kind string, children array<struct<key:string,child:binary,more:boolean,value_type:string,value:string>>"
 
 
 def _clean(text: str) -> str:
@@ -71,24 +69,24 @@ def _scalar(value) -> tuple[str, str | None]:
 
 
 class Seen:
-    """What is known of a subtree: its identity; how many scalars stand below; the way to the next branching."""
+    """What is known of a subtree: its identity, whether it and what is below it hold scalars, and the subtrees below that do."""
 
-    __slots__ = ("node", "scalars", "more", "to", "way")
+    __slots__ = ("node", "own", "below")
 
-    def __init__(self, node: bytes, scalars: bool, more: bool, only: tuple[str, Seen] | None):
-        self.node, self.scalars = node, scalars
-        if only is None:
-            self.to, self.more, self.way = node if scalars else None, more, None
-        else:
-            step, below = only
-            self.to, self.more, self.way = below.to, below.more, (step, below.way)
+    def __init__(self, node: bytes, own: bool, below: list[tuple[str, Seen]]):
+        self.node, self.own, self.below = node, own, below
 
-    def via(self) -> str:
-        steps, way = [], self.way
-        while way is not None:
-            steps.append(way[0])
-            way = way[1]
-        return "".join(steps)
+    def steps(self) -> list[tuple[str, bytes, bool]]:
+        """(path, identity, whether steps go on there) of the nearest subtrees below with scalars of their own."""
+        found, path, left = [], [], [(0, step, seen) for step, seen in reversed(self.below)]
+        while left:
+            depth, step, seen = left.pop()
+            path[depth:] = [step]
+            if seen.own:
+                found.append(("".join(path), seen.node, bool(seen.below)))
+            else:
+                left += [(depth + 1, s, x) for s, x in reversed(seen.below)]
+        return found
 
 
 class Subtrees:
@@ -100,9 +98,23 @@ class Subtrees:
 
     def _clear(self) -> None:
         self.nodes, self.kinds, self.ends = [], [], [0]
-        self.keys, self.types, self.texts = [], [], []
-        #: Place among the children, identity, and where the walk goes on: for the children that are subtrees.
-        self.links: list[tuple] = []
+        self.columns: dict[str, list] = {f.name: [] for f in CHILD}
+
+    def _row(self, node: bytes, kind: str, **columns: list) -> None:
+        n = len(next(iter(columns.values())))
+        for name, held in self.columns.items():
+            held += columns.get(name) or [None] * n
+        self.nodes.append(node)
+        self.kinds.append(kind)
+        self.ends.append(self.ends[-1] + n)
+
+    def _is_new(self, node: bytes) -> bool:
+        if node in self.met:
+            return False
+        if len(self.met) >= MEMO_NODES:
+            self.met.clear()
+        self.met.add(node)
+        return True
 
     def add(self, value: dict | list) -> Seen:
         if type(value) is dict:
@@ -112,11 +124,16 @@ class Subtrees:
             own = ["{", *[f"{len(k)}:{k}" for k in keys]]
         else:
             keys, held, own = None, value, ["["]
-        types, texts, below = [], [], []
+        types, texts, child, below = [], [], None, []
         for v in held:
             if type(v) is dict or type(v) is list:
                 seen = self.add(v)
-                below.append((len(types), seen))
+                if child is None:
+                    child = [None] * len(held)
+                place = len(types)
+                child[place] = seen.node
+                if seen.own or seen.below:
+                    below.append((f"[{place}]" if keys is None else f".{keys[place]}", seen))
                 own.append("#" + seen.node.hex())
                 types.append(None)
                 texts.append(None)
@@ -126,24 +143,23 @@ class Subtrees:
                 types.append(kind)
                 texts.append(text)
         node = blake2b("\0".join(own).encode(), digest_size=16).digest()
-        more = any(seen.scalars for _, seen in below)
-        only = None
-        if more and len(types) == 1:
-            only = ("[0]" if keys is None else f".{keys[0]}", below[0][1])
-        if node not in self.met:
-            if len(self.met) >= MEMO_NODES:
-                self.met.clear()
-            self.met.add(node)
-            at = len(self.types)
-            self.keys += [None] * len(types) if keys is None else keys
-            self.types += types
-            self.texts += texts
-            for place, seen in below:
-                self.links.append((at + place, seen.node, *((seen.to, seen.via(), seen.more) if seen.scalars and only is None else (None, None, None))))
-            self.nodes.append(node)
-            self.kinds.append("list" if keys is None else "object")
-            self.ends.append(len(self.types))
-        return Seen(node, more or len(types) > len(below), more, only)
+        made = Seen(node, any(types), below)
+        if self._is_new(node):
+            self._row(node, "list" if keys is None else "object", value_type=types, value=texts, key=keys, child=child)
+            if made.own and below:
+                self._steps(made)
+        return made
+
+    def root(self, value: dict | list) -> Seen:
+        """A tree of its own: the walk starts at it even where it holds subtrees only."""
+        made = self.add(value)
+        if made.below and not made.own and self._is_new(made.node + b"*"):
+            self._steps(made)
+        return made
+
+    def _steps(self, made: Seen) -> None:
+        paths, nodes, more = map(list, zip(*made.steps()))
+        self._row(made.node, "steps", key=paths, child=nodes, more=more)
 
     def waiting(self) -> int:
         return self.ends[-1]
@@ -152,12 +168,7 @@ class Subtrees:
         """The rows of new subtrees, which are then forgotten; their identities are not."""
         if not self.nodes:
             return None
-        linked = {n: [None] * len(self.types) for n in ("child", "to", "via", "more")}
-        for place, *link in self.links:
-            for column, v in zip(linked.values(), link):
-                column[place] = v
-        columns = {"key": self.keys, **linked, "value_type": self.types, "value": self.texts}
-        held = pa.StructArray.from_arrays([pa.array(columns[f.name], f.type) for f in CHILD], fields=list(CHILD))
+        held = pa.StructArray.from_arrays([pa.array(self.columns[f.name], f.type) for f in CHILD], fields=list(CHILD))
         children = pa.ListArray.from_arrays(pa.array(self.ends, pa.int32()), held)
         made = _batch({"node": pa.array(self.nodes, pa.binary()), "kind": pa.array(self.kinds, pa.string()), "children": children})
         self._clear()
@@ -180,10 +191,10 @@ def _flatten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             return None
         sys.setrecursionlimit(DEEPEST)
         try:
-            seen = trees.add(tree)
+            seen = trees.root(tree)
         finally:
             sys.setrecursionlimit(limit)
-        return seen.node, seen.to, seen.via() if seen.to is not None else None, seen.more
+        return seen.node, bool(seen.below)
 
     for batch in batches:
         images, places, roots = [], [], []
@@ -205,7 +216,7 @@ def _flatten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     places.append(pos)
                     roots.append(found)
         if roots:
-            yield _batch({n: pa.array(c, LAYOUT.field(n).type) for n, c in zip(("image_id", "check_pos", "node", "to", "via", "more"), (images, places, *zip(*roots)))})
+            yield _batch({n: pa.array(c, LAYOUT.field(n).type) for n, c in zip(("image_id", "check_pos", "node", "more"), (images, places, *zip(*roots)))})
         made = trees.take()
         if made is not None:
             yield made
@@ -246,7 +257,7 @@ class NestedReports:
 
     def _met(self) -> DataFrame:
         """Subtrees as tasks met them: one that several tasks met stands there several times."""
-        return self._raw().where(F.col("kind").isNotNull())
+        return self._raw().where(F.col("kind").isin("object", "list"))
 
     def details(self) -> DataFrame:
         return self._raw().where(F.col("kind").isNull()).select("image_id", "check_pos", "node")
@@ -262,35 +273,32 @@ class NestedReports:
         return rows.select("parent", "ordinal", "c.key", "c.child", "c.value_type", "c.value")
 
     def _steps(self) -> DataFrame:
-        """(node, path, to, more): the steps from a subtree to the next ones with scalars, each once."""
-        met = self._met().where(F.exists("children.to", lambda t: t.isNotNull()))
-        flat = met.select("node", F.posexplode(F.arrays_zip("children.key", "children.to", "children.via", "children.more")).alias("ordinal", "c")).where("c.`to` is not null")
-        c = F.col("c")
-        return flat.select("node", F.concat(_step(c["key"], F.col("ordinal")), c["via"]).alias("path"), c["to"].alias("to"), c["more"].alias("more")).dropDuplicates(["node", "path"])
+        """(node, path, to, on) of the steps from each subtree, each once; ``on`` tells whether others follow."""
+        met = self._raw().where(F.col("kind") == "steps").select("node", F.arrays_zip("children.key", "children.child", "children.more").alias("c"))
+        once = met.groupBy("node").agg(F.first("c").alias("c")).select("node", F.explode("c").alias("c"))
+        return once.select("node", F.col("c.key").alias("path"), F.col("c.child").alias("to"), F.col("c.more").alias("on"))
 
     def occurrences(self) -> DataFrame:
-        """(image_id, check_pos, prefix, node) of every place of a subtree that holds scalars or branches."""
+        """(image_id, check_pos, prefix, node) of every root, and of every place below of a subtree that holds scalars of its own."""
         if self._occurrences is not None:
             return self._occurrences
-        roots = self._raw().where(F.col("kind").isNull() & F.col("to").isNotNull())
-        found = roots.select("image_id", "check_pos", F.col("via").alias("prefix"), F.col("to").alias("node"), "more")
-        rows, open_, more = self._counts["details"], self._counts["more"], F.count_if("more")
-        steps, n = self.scratch.write_counted(self._steps(), "steps-0", more=more)
-        k = 0
-        while n["n"]:
-            mine, theirs = salted(found.where("more"), steps.withColumnRenamed("more", "on"), "node", F.struct("image_id", "check_pos", "prefix"), open_)
-            down = mine.join(theirs, ["node", "_salt"]).select("image_id", "check_pos", F.concat("prefix", "path").alias("prefix"), F.col("to").alias("node"), F.col("on").alias("more"))
-            down, met = self.scratch.write_counted(down, f"found-{k}", more=more)
-            found, rows, open_ = found.union(down), rows + met["n"], open_ + met["more"]
-            if not n["more"]:
-                break
-            # Steps twice as long; those that end at a subtree without steps of its own end here.
-            after = steps.select(F.col("node").alias("to"), F.col("path").alias("further"), F.col("to").alias("end"), F.col("more").alias("on"))
-            mine, theirs = salted(steps.where("more"), after, "to", F.struct("node", "path"), n["more"])
-            longer = mine.join(theirs, ["to", "_salt"]).select("node", F.concat("path", "further").alias("path"), F.col("end").alias("to"), F.col("on").alias("more"))
-            k += 1
-            steps, n = self.scratch.write_counted(longer, f"steps-{k}", more=more)
-            self.scratch.drop(f"steps-{k - 1}")
+        roots = self._raw().where(F.col("kind").isNull())
+        found = roots.select("image_id", "check_pos", F.lit("").alias("prefix"), "node", "more")
+        rows, open_, on = self._counts["details"], self._counts["more"], F.count_if("on")
+        steps, n = self.scratch.write_counted(self._steps(), "steps-0", on=on)
+        k, nothing = 0, F.lit(None).cast("string")
+        while n["n"] and open_:
+            # One join takes a step from every place reached, and doubles the steps themselves: those have a start instead of an image.
+            ways = found.where("more").select("image_id", "check_pos", F.lit(None).cast("binary").alias("start"), "prefix", "node")
+            ways = ways.union(steps.where("on").select(nothing, F.lit(None).cast("int"), "node", "path", F.col("to")))
+            mine, theirs = salted(ways, steps, "node", F.struct("image_id", "check_pos", "start", "prefix"), open_ + n["on"])
+            down = mine.join(theirs, ["node", "_salt"]).select("image_id", "check_pos", "start", F.concat("prefix", "path").alias("prefix"), F.col("to").alias("node"), F.col("on").alias("more"))
+            is_step = F.col("start").isNotNull()
+            down, met = self.scratch.write_counted(down, f"down-{k}", steps=F.count_if(is_step), on=F.count_if(is_step & F.col("more")), more=F.count_if(~is_step & F.col("more")))
+            found = found.union(down.where(~is_step).select(found.columns))
+            rows, open_ = rows + met["n"] - met["steps"], open_ + met["more"]
+            steps = down.where(is_step).select(F.col("start").alias("node"), F.col("prefix").alias("path"), F.col("node").alias("to"), F.col("more").alias("on"))
+            n, k = {"n": met["steps"], "on": met["on"]}, k + 1
         self._occurrences, self._total = found.select("image_id", "check_pos", "prefix", "node"), rows
         return self._occurrences
 
