@@ -1,24 +1,23 @@
 """Consolidating pairwise matches into groups: peel the giant component, then spread minima.
 
 1. Links are made undirected, distinct and free of loops.
-2. From the vertex of highest degree a breadth-first search joins frontier and links, round by
-   round; a frontier vertex is emitted once however many links reach it.
-3. Links of the peeled component are removed by an anti-join. If the search is cut off, after
-   ``max_rounds`` or when a round reaches less than a hundredth of what is reached already (a long chain
-   hangs on the giant), that is contracted to one vertex instead and the rest goes through step 4,
-   so the result stays whole.
-4. The remaining components are labelled with their smallest vertex by minimum propagation: each
+2. Chains are contracted: links between two vertices of at most two links each are labelled by minimum propagation
+   (step 5), so that a long chain that hangs on the giant costs the logarithm of its length below, not its length.
+3. From the vertex of highest degree a breadth-first search joins frontier and links, round by
+   round, until nothing new is met; a frontier vertex is emitted once however many links reach it.
+   Neighbours of a frontier lie in it, in the one before or in the next, so only these two are subtracted.
+4. The links of the peeled component are removed by an anti-join.
+5. The remaining components are labelled with their smallest vertex by minimum propagation: each
    vertex takes the smallest label around it, labels jump to their own labels, and links are
    carried over to the labels, until none joins two of them. Chains shrink by a factor each
    round, so the number of rounds follows the logarithm of the longest path.
 
-Each round is written to the shared folder; nothing is collected but counts. Vertices are
-16-byte values. A vertex without links is in no group; an empty link table gives none.
+Each round is written to the shared folder; nothing is collected but counts and the one vertex the search starts
+from. Vertices are 16-byte values. A vertex without links is in no group; an empty link table gives none.
 """
 
 from __future__ import annotations
 
-import json
 import re
 
 import pandas as pd
@@ -27,22 +26,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, StringType
 
+from frameloom.functions.details import read_json
+from frameloom.operators.skew import salted
 from frameloom.session import Scratch
 
 UUID = re.compile(r"(?<![0-9a-f])[0-9a-f]{8}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{12}(?![0-9a-f])")
 LINK_TYPES = ("exact", "near_duplicate")
-MAX_ROUNDS = 12
-#: A round of the search that adds less than one part in so many ends it.
-TAIL = 100
-
-
-def read_json(text: str | None):
-    """The value of a JSON text, or of the JSON text inside a JSON string; None if neither can be read."""
-    try:
-        value = json.loads(text)
-        return json.loads(value) if isinstance(value, str) else value
-    except (TypeError, ValueError, RecursionError):
-        return None
+#: Links a vertex of a chain has at most.
+CHAIN = 2
 
 
 def _id_in(value) -> str | None:
@@ -94,12 +85,17 @@ def image_links(images: DataFrame, runs: DataFrame) -> DataFrame:
     details = in_reports.select("image_id", F.col("c.details_json").alias("details")).unionByName(
         runs.where(F.col("check_name") == "duplicate_detection").select("image_id", F.col("details_json").alias("details"))
     )
-    stated = details.where(F.col("details").isNotNull()).select(vertex(F.col("image_id")).alias("a"), F.explode(matched_ids_of("details")).alias("other"))
-    links = undirected(stated.select("a", F.unhex("other").alias("b")))
+    # A text that names neither kind, not even with escaped letters, states no link and is not parsed.
+    text = F.col("details")
+    telling = details.where(text.contains("\\u") | text.contains(LINK_TYPES[0]) | text.contains(LINK_TYPES[1]))
+    stated = telling.select(vertex(F.col("image_id")).alias("a"), F.explode(matched_ids_of("details")).alias("other"))
+    scratch = Scratch(images.sparkSession, "links")
+    links, n = scratch.write_counted(undirected(stated.select("a", F.unhex("other").alias("b"))), "stated")
     known = images.select(vertex(F.col("id")).alias("v")).where(F.col("v").isNotNull())
-    for end in ("a", "b"):
-        links = links.join(known.withColumnRenamed("v", end), end, "left_semi")
-    return links.select("a", "b")
+    for end, other in (("a", "b"), ("b", "a")):
+        mine, theirs = salted(links, known.withColumnRenamed("v", end), end, F.col(other), n["n"])
+        links = mine.join(theirs, [end, "_salt"], "left_semi").select("a", "b")
+    return links
 
 
 def undirected(links: DataFrame) -> DataFrame:
@@ -111,65 +107,80 @@ def _both_ways(links: DataFrame) -> DataFrame:
     return links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
-def _peel(scratch: Scratch, links: DataFrame, max_rounds: int) -> tuple[DataFrame, bool]:
-    """The vertices reached from the vertex of highest degree, and whether that is its whole component."""
+def _carried(links: DataFrame, names: DataFrame, total: int | None) -> DataFrame:
+    """Links with each end replaced by its label; an end without one stays. Without a total no vertex has many links."""
+    for end, other in (("a", "b"), ("b", "a")):
+        mine, theirs, on = links, names.withColumnRenamed("v", end), [end]
+        if total is not None:
+            (mine, theirs), on = salted(mine, theirs, end, F.col(other), total), [end, "_salt"]
+        links = mine.join(theirs, on, "left").select(F.coalesce("label", end).alias(end), other)
+    return undirected(links)
+
+
+def _composed(first: DataFrame, then: DataFrame, total: int | None) -> DataFrame:
+    """Labels followed by the labels of the labels, where there are any; ``total`` is about the number of ``first``."""
+    mine, theirs, on = first, then.select(F.col("v").alias("label"), F.col("label").alias("next")), ["label"]
+    if total is not None:
+        (mine, theirs), on = salted(mine, theirs, "label", F.col("v"), total), ["label", "_salt"]
+    return mine.join(theirs, on, "left").select("v", F.coalesce("next", "label").alias("label"))
+
+
+def _spread(scratch: Scratch, links: DataFrame, n: int, name: str, chains: bool = False) -> DataFrame:
+    """(v, label) with the smallest vertex of each component as label. In chains a label is adopted by few in a round."""
+    labels, most, k = None, n, 0
+    while n:
+        total = None if chains else n
+        lower = _both_ways(links).groupBy(F.col("a").alias("v")).agg(F.min("b").alias("label")).select("v", F.least("v", "label").alias("label"))
+        step = scratch.write(_composed(lower, lower, total), f"{name}-step-{k}")
+        labels = step if labels is None else _composed(labels, step, most)
+        links, met = scratch.write_counted(_carried(links, step, total), f"{name}-left-{k}")
+        n, k = met["n"], k + 1
+    return links.select(F.col("a").alias("v"), F.col("b").alias("label")) if labels is None else scratch.write(labels, name)
+
+
+def _chains(scratch: Scratch, links: DataFrame) -> DataFrame:
+    """(v, label) of the vertices of chains."""
+    narrow = _both_ways(links).groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= CHAIN).select(F.col("a").alias("v"))
+    inner = links
+    for end in ("a", "b"):
+        inner = inner.join(narrow.withColumnRenamed("v", end), end, "left_semi")
+    inner, n = scratch.write_counted(inner.select("a", "b"), "chains")
+    return _spread(scratch, inner, n["n"], "chain", chains=True)
+
+
+def _peel(scratch: Scratch, links: DataFrame) -> DataFrame:
+    """(v) of the component around the vertex of highest degree."""
     ways = _both_ways(links)
-    degree = ways.groupBy("a").agg(F.count(F.lit(1)).alias("degree"))
-    frontier = scratch.write(degree.orderBy(F.desc("degree"), "a").limit(1).select(F.col("a").alias("v")), "reached-0")
-    reached, n, done = frontier, 1, False
-    for k in range(1, max_rounds + 1):
+    top = ways.groupBy("a").agg(F.count(F.lit(1)).alias("degree")).orderBy(F.desc("degree"), "a").select(F.col("a").alias("v")).head().v
+    frontier = links.sparkSession.createDataFrame([(bytes(top),)], "v binary")
+    reached, before, k, met = frontier, frontier.limit(0), 0, 1
+    while met:
         ahead = ways.join(frontier.withColumnRenamed("v", "a"), "a", "left_semi").select(F.col("b").alias("v")).distinct()
-        frontier = scratch.write(ahead.join(reached, "v", "left_anti"), f"reached-{k}")
-        met = frontier.count()
-        if not met:
-            done = True
-            break
-        reached, n = reached.union(frontier), n + met
-        if met * TAIL < n:
-            break
-    return reached, done
-
-
-def _spread(scratch: Scratch, links: DataFrame) -> DataFrame:
-    """(v, label) with the smallest vertex of each component as label."""
-    steps, left = [], links
-    while not left.isEmpty():
-        k = len(steps)
-        lower = scratch.write(_both_ways(left).groupBy(F.col("a").alias("v")).agg(F.min("b").alias("label")).select("v", F.least("v", "label").alias("label")), f"lower-{k}")
-        up = lower.select(F.col("v").alias("label"), F.col("label").alias("next"))
-        step = scratch.write(lower.join(up, "label").select("v", F.col("next").alias("label")), f"step-{k}")
-        steps.append(step)
-        carried = left
-        for end in ("a", "b"):
-            carried = carried.join(step.withColumnRenamed("v", end), end).withColumn(end, F.col("label")).drop("label")
-        left = scratch.write(undirected(carried), f"left-{k}")
-    if not steps:
-        return links.select(F.col("a").alias("v"), F.col("b").alias("label"))
-    labels = steps[0]
-    for step in steps[1:]:
-        after = step.select(F.col("v").alias("label"), F.col("label").alias("next"))
-        labels = labels.join(after, "label", "left").select("v", F.coalesce("next", "label").alias("label"))
-    return labels
+        k += 1
+        new, n = scratch.write_counted(ahead.join(frontier.union(before), "v", "left_anti"), f"reached-{k}")
+        before, frontier, met = frontier, new, n["n"]
+        reached = reached.union(new)
+        # The links of the start, which may be a great part of all, are followed once.
+        ways = ways.where((F.col("a") != F.lit(top)) & (F.col("b") != F.lit(top)))
+    return reached
 
 
-def components(links: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(v, label) of every linked vertex; the label is the smallest vertex of its component."""
     scratch = Scratch(links.sparkSession, "groups")
-    links = scratch.write(undirected(links), "links")
-    if links.isEmpty():
+    links, n = scratch.write_counted(undirected(links), "links")
+    if not n["n"]:
         return links.select(F.col("a").alias("v"), F.col("b").alias("label"))
-    giant, whole = _peel(scratch, links, max_rounds)
-    ends = giant.agg(F.min("v").alias("least"))
-    if whole:
-        rest = links.join(giant.withColumnRenamed("v", "a"), "a", "left_anti")
-        small = _spread(scratch, scratch.write(rest, "rest"))
-        # One row of one aggregate: the giant's smallest vertex.
-        return giant.join(F.broadcast(ends)).select("v", F.col("least").alias("label")).union(small)
-    # Contract what was reached to its smallest vertex and let the rest decide.
-    named = giant.join(F.broadcast(ends)).select("v", F.col("least").alias("name"))
-    rest = links
-    for end in ("a", "b"):
-        rest = rest.join(named.withColumnRenamed("v", end), end, "left").withColumn(end, F.coalesce("name", end)).drop("name")
-    small = _spread(scratch, scratch.write(undirected(rest), "rest"))
-    through = named.join(small.select(F.col("v").alias("name"), "label"), "name", "left").select("v", F.coalesce("label", "name").alias("label"))
-    return through.union(small.join(giant, "v", "left_anti"))
+    total = n["n"]
+    chains = _chains(scratch, links)
+    short, left = scratch.write_counted(_carried(links, chains, total), "short")
+    vertices = _both_ways(links).select(F.col("a").alias("v")).distinct()
+    labels = vertices.join(chains, "v", "left").select("v", F.coalesce("label", "v").alias("label"))
+    if not left["n"]:
+        return labels
+    giant = _peel(scratch, short)
+    rest, left = scratch.write_counted(short.join(giant.withColumnRenamed("v", "a"), "a", "left_anti"), "rest")
+    small = _spread(scratch, rest, left["n"], "small")
+    # One row of one aggregate: the giant's smallest vertex.
+    named = giant.join(F.broadcast(giant.agg(F.min("v").alias("label"))))
+    return _composed(scratch.write(labels, "labels"), scratch.write(named.union(small), "named"), total)

@@ -2,22 +2,25 @@
 
 Speech. A document's cues are read as one sequence of words: time lines and cue numbers, markup,
 sound descriptions and speaker labels go, look-alike characters get one form, letter case and
-punctuation go, and a word broken at a line end with a hyphen is joined again.
+punctuation go, and a word broken at a line end with a hyphen is joined again. Text between stars or notes
+may be a description or speech: both readings count.
 
 Join. A leak is a window of 12 consecutive words of a passage (the whole passage if it is
-shorter) of which at most two are misread in the document.
-1. The shingles are pairs of adjacent words. A misread word spoils at most two of a window's 11,
-   so at least 7 are in the document, and of any 5 of them at least one.
+shorter) of which at most two are misread in the document. A misread word differs by at most two characters,
+or is split in two, or joined with the next.
+1. The shingles are pairs of adjacent words. A misread word spoils at most three of a window's 11 (two words joined
+   do), so at least 5 are in the document, and of any 7 of them at least one. Where a short passage has too
+   few pairs for that, its shingles are the single words, of which a misread spoils at most two.
 2. Shingles are ordered by rarity: in how many documents each occurs, counted over all
-   documents. The 5 rarest shingles of a window are its necessary prefix.
+   documents. The 7 rarest shingles of a window are its necessary prefix.
 3. The documents are joined with the prefixes. A pair is a candidate only if the document holds
-   at least 7 different shingles of the passage (the length bound), and is verified only where
+   at least as many different shingles of the passage as a window must share (the length bound), and is verified only where
    shingles lie at the same places in both (the positional bound).
 4. Verification runs over the windows word by word, with at most two misread words.
 
-The passages are a held-out set of fixed size. They are taken in blocks of at most
-``ITEMS_PER_BLOCK`` items, so what a task holds is bounded however many there are; each block
-scans the documents twice, and neither scan shuffles a text.
+The documents are read and brought to words once; the words are written and scanned twice for each block of
+passages. A block holds a bounded number of characters, so what is sent to the workers is bounded however
+many or long the passages are; only one passage larger than that makes a block of its own size. No scan shuffles a text.
 
 A null or empty text or passage leaks nothing. Repeated documents and equal passages each get
 their own row. Texts of any length are read whole.
@@ -35,50 +38,79 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from frameloom.llm.skeleton import skeleton
+from frameloom.llm.skeleton import LookAlikes, look_alikes
+from frameloom.session import Scratch
 
 WINDOW = 12
 MISREAD = 2
-SHINGLE = 2
-ITEMS_PER_BLOCK = 20_000
-
-SOUND = re.compile(r"\[[^\[\]]{0,80}\]|\([^()]{0,80}\)|\*[^*\n]{1,40}\*|♪[^♪\n]{0,24}♪")
-MARKUP = re.compile(r"<[^<>\n]{0,80}>|\{[^{}\n]{0,80}\}")
-LABEL = re.compile(r"[-\s]*[^\W\d_a-z][^a-z:0-9]{0,40}:\s")
-CUE_NUMBER = re.compile(r"\W*[\dlIOo|SBZ]{1,6}\W*")
+#: Characters that a misread word differs in at most, and adjacent pairs or single words that one spoils at most.
+CHARACTERS = 2
+SPOILT_PAIRS, SPOILT_WORDS = 3, 2
+#: Characters of the passages of one block.
+BLOCK = 4_000_000
+
+#: Brackets end within their cue: at the next bracket or blank line they are no description.
+SOUND = re.compile(r"\[(?:[^\[\]\n]|\n(?!\s*\n))*\]|\((?:[^()\n]|\n(?!\s*\n))*\)")
+MARKUP = re.compile(r"</?[^\W\d_][^<>\n]*>|\{[^{}\n]*\}")
+LABEL = re.compile(r"[-\s]*[^\W\d_a-z][^a-z:0-9]*:\s")
+#: A number, misread or not, in the place of a cue number.
+CUE_NUMBER = re.compile(r"\W*[\dlIOo|SBZ]+\W*")
 #: The hyphen first, then what must stand before it: so the search can jump to hyphens.
 BROKEN = re.compile(r"-(?<=\w-)\s*(?=\w)")
 WORD = re.compile(r"[^\W_]+")
-APOSTROPHES = "'`´"
-
-
-def words(text: str | None) -> list[str]:
-    """The words that a text speaks, in one form."""
-    if not text:
-        return []
-    text = skeleton(text)
-    if ":" in text:
-        kept: list[str] = []
-        for line in text.split("\n"):
-            if ":" in line:
-                if "->" in line:
-                    if kept and (kept[-1].isdigit() or (CUE_NUMBER.fullmatch(kept[-1]) and (len(kept) == 1 or not kept[-2].strip()))):
-                        kept.pop()
-                    continue
-                if label := LABEL.match(MARKUP.sub("", line) + " "):
-                    line = MARKUP.sub("", line)[label.end() :]
-            kept.append(line)
-        text = "\n".join(kept)
-    if "<" in text or "{" in text:
-        text = MARKUP.sub("", text)
-    text = SOUND.sub(" ", text)
-    if "-" in text:
-        text = BROKEN.sub("", text)
-    for mark in APOSTROPHES:
-        text = text.replace(mark, "")
-    if not text.isascii():
-        text = unicodedata.normalize("NFC", text)
-    return WORD.findall(text.lower())
+APOSTROPHES = "'`\u00b4"
+
+
+class Speech:
+    """What texts speak, under one table of look-alike characters."""
+
+    def __init__(self, alike: LookAlikes):
+        self.alike = alike
+        note = re.escape(alike.skeleton("\u266a"))
+        #: Perhaps descriptions: between notes, or between stars.
+        self.between = re.compile(rf"{note}(?:(?!{note})[^\n])*{note}|\*[^*\n]*\*")
+
+    def _cleaned(self, text: str) -> str:
+        """The text without time lines, cue numbers, labels, markup and bracketed descriptions."""
+        text = self.alike.skeleton(text)
+        if ":" in text:
+            kept: list[str] = []
+            for line in text.split("\n"):
+                if ":" in line:
+                    if "->" in line:
+                        if kept and (kept[-1].isdigit() or (CUE_NUMBER.fullmatch(kept[-1]) and (len(kept) == 1 or not kept[-2].strip()))):
+                            kept.pop()
+                        continue
+                    if label := LABEL.match(MARKUP.sub("", line) + " "):
+                        line = MARKUP.sub("", line)[label.end() :]
+                kept.append(line)
+            text = "\n".join(kept)
+        if "<" in text or "{" in text:
+            text = MARKUP.sub("", text)
+        return SOUND.sub(" ", text)
+
+    @staticmethod
+    def _words(text: str) -> list[str]:
+        if "-" in text:
+            text = BROKEN.sub("", text)
+        for mark in APOSTROPHES:
+            text = text.replace(mark, "")
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text)
+        return WORD.findall(text.lower())
+
+    def words(self, text: str | None) -> list[str]:
+        """The words of a text, those between stars or notes among them."""
+        return self._words(self._cleaned(text)) if text else []
+
+    def readings(self, text: str | None) -> list[list[str]]:
+        """The words without what stands between stars or notes, and, where that changes them, with it."""
+        if not text:
+            return []
+        text = self._cleaned(text)
+        every = self._words(text)
+        fewer = self._words(self.between.sub(" ", text))
+        return [r for r in ([every] if fewer == every else [fewer, every]) if r]
 
 
 def _edits(a: str, b: str, most: int) -> int:
@@ -101,58 +133,36 @@ def _edits(a: str, b: str, most: int) -> int:
     return row[-1]
 
 
-#: Characters that are read one for another, the first standing for all, and letter groups read as one letter.
-CONFUSED = {c: group[0] for group in ("oa0", "ce", "tf", "il1", "s5", "bhn86", "z2", "g9", "uv") for c in group}
-GROUPS = (("rn", "m"), ("ii", "u"), ("vv", "w"), ("cl", "d"))
-
-
-def _grouped(word: str) -> str:
-    for group, letter in GROUPS:
-        word = word.replace(group, letter)
-    return word
-
-
-def _shape(word: str) -> str:
-    return "".join(CONFUSED.get(c, c) for c in _grouped(word))
-
-
 def misread(word: str, seen: str) -> bool:
-    """Whether ``seen`` can be ``word`` with a character or two misread.
-
-    Two characters that look like what stands there may differ in any word. Otherwise one may
-    in words of four or five characters and two in longer ones; in shorter words a differing
-    letter that looks different makes another word.
-    """
-    if word == seen:
-        return True
-    edits = min(_edits(word, seen, 2), _edits(_grouped(word), _grouped(seen), 2))
-    return edits <= (0 if len(word) <= 3 else 1 if len(word) <= 5 else 2) or edits <= 2 and _shape(word) == _shape(seen)
+    """Whether ``seen`` can be ``word`` with a character or two misread."""
+    return word == seen or _edits(word, seen, CHARACTERS) <= CHARACTERS
 
 
 class Item:
     """One passage and what its windows require."""
 
-    def __init__(self, item_id: int, passage: str | None):
-        self.item_id, self.words = item_id, words(passage)
+    def __init__(self, item_id: int, words: list[str]):
+        self.item_id, self.words = item_id, words
         n = len(self.words)
         self.window = min(WINDOW, n)
         self.misread = MISREAD if self.window == WINDOW else round(MISREAD * self.window / WINDOW)
-        self.shingles = list(zip(self.words, self.words[1:])) if n > 1 else [(w, "") for w in self.words]
+        pairs = self.window - 1
+        self.single = pairs - SPOILT_PAIRS * self.misread < 1
+        self.size, spoilt = (self.window, SPOILT_WORDS) if self.single else (pairs, SPOILT_PAIRS)
+        self.shingles = [(w, "") for w in self.words] if self.single else list(zip(self.words, self.words[1:]))
         self.places: dict[tuple[str, str], list[int]] = defaultdict(list)
         for i, s in enumerate(self.shingles):
             self.places[s].append(i)
-        size = max(1, self.window - SHINGLE + 1)
-        self.prefix = min(size, SHINGLE * self.misread + 1)
+        self.prefix = min(self.size, spoilt * self.misread + 1)
         #: Shingles a window shares at least; windows may repeat one, so a lower bound on different ones.
-        self.shared = max(1, size - SHINGLE * self.misread)
-        self.needed = min((max(1, len(set(self.shingles[s : s + size])) - SHINGLE * self.misread) for s in range(len(self.shingles) - size + 1)), default=1)
+        self.shared = max(1, self.size - spoilt * self.misread)
+        self.needed = min((max(1, len(set(self.shingles[s : s + self.size])) - spoilt * self.misread) for s in range(len(self.shingles) - self.size + 1)), default=1)
 
     def prefixes(self, rarity: dict[tuple[str, str], int]) -> set[tuple[str, str]]:
         """The necessary shingles of all windows: of each the rarest few, ties by the shingle itself."""
-        size = max(1, self.window - SHINGLE + 1)
         out: set[tuple[str, str]] = set()
-        for s in range(len(self.shingles) - size + 1):
-            out.update(sorted(self.shingles[s : s + size], key=lambda x: (rarity.get(x, 0), x))[: self.prefix])
+        for s in range(len(self.shingles) - self.size + 1):
+            out.update(sorted(self.shingles[s : s + self.size], key=lambda x: (rarity.get(x, 0), x))[: self.prefix])
         return out
 
     def _from(self, i: int, end: int, doc: list[str], d: int, left: int) -> bool:
@@ -198,85 +208,119 @@ class Item:
         return False
 
 
-def _pairs(doc: list[str]) -> list[tuple[str, str]]:
-    return list(zip(doc, doc[1:])) + [(w, "") for w in doc]
+def _shingles(doc: list[str], single: frozenset[str]) -> set[tuple[str, str]]:
+    held = set(zip(doc, doc[1:]))
+    if single:
+        held.update((w, "") for w in single.intersection(doc))
+    return held
+
+
+def spoken_words(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, said): the readings of each document that speaks, each as its words with blanks between; one pass, no shuffle."""
+    # Bounded by the number of characters there are.
+    shared = documents.sparkSession.sparkContext.broadcast(look_alikes(documents.sparkSession))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        speech = Speech(shared.value)
+        for batch in batches:
+            ids, said = [], []
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if readings := speech.readings(text):
+                    ids.append(doc_id)
+                    said.append([" ".join(r) for r in readings])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(said, pa.list_(pa.string()))], names=["doc_id", "said"])
 
+    chosen = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
+    return chosen.mapInArrow(run, "doc_id bigint, said array<string>")
 
-def rarity(documents: DataFrame, shingles: frozenset[tuple[str, str]], single: bool, id_col: str, text_col: str) -> dict[tuple[str, str], int]:
-    """In how many of all documents each of the passages' shingles occurs. One row for each shingle comes back."""
-    names = documents.sparkSession.sparkContext.broadcast(shingles)
+
+def rarity(said: DataFrame, shingles: frozenset[tuple[str, str]]) -> dict[tuple[str, str], int]:
+    """In how many of all documents each of a block's shingles occurs. One row for each of them comes back."""
+    names = said.sparkSession.sparkContext.broadcast(shingles)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        single = frozenset(a for a, b in names.value if not b)
         seen: Counter = Counter()
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                doc = words(text)
-                held = set(zip(doc, doc[1:]))
-                if single:
-                    held.update((w, "") for w in doc)
-                seen.update(held & names.value)
-        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in seen]), pa.array([b for _, b in seen]), pa.array(list(seen.values()), pa.int64())], schema=pa.schema([("a", pa.string()), ("b", pa.string()), ("n", pa.int64())]))
-
-    counted = documents.select(F.col(text_col).cast("string").alias("text")).where("text is not null").mapInArrow(run, "a string, b string, n bigint")
+            for readings in batch.column(0).to_pylist():
+                seen.update(names.value & set().union(*[_shingles(r.split(" "), single) for r in readings]))
+        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in seen], pa.string()), pa.array([b for _, b in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], names=["a", "b", "n"])
+
+    counted = said.select("said").mapInArrow(run, "a string, b string, n bigint")
     return {(r.a, r.b): r.n for r in counted.groupBy("a", "b").agg(F.sum("n").alias("n")).collect()}
 
 
-def _block(documents: DataFrame, items: list[Item], id_col: str, text_col: str) -> DataFrame:
-    spark = documents.sparkSession
-    single = any(len(i.words) == 1 for i in items)
-    rare = rarity(documents, frozenset(s for i in items for s in i.shingles), single, id_col, text_col)
+def _leaking(doc: list[str], items: list[Item], by: dict[tuple[str, str], list[int]], prefixes: frozenset, single: frozenset[str], known: set[int]) -> Iterator[int]:
+    """Places of the items that one reading speaks, but for the known ones."""
+    held = _shingles(doc, single)
+    met = held & prefixes
+    where: dict[tuple[str, str], list[int]] | None = None
+    for k in {k for s in met for k in by[s]} - known:
+        item = items[k]
+        if len(item.places.keys() & held) < item.needed:
+            continue
+        if where is None:
+            where = defaultdict(list)
+            for d, s in enumerate(zip(doc, doc[1:])):
+                where[s].append(d)
+            for d, w in enumerate(doc):
+                if w in single:
+                    where[(w, "")].append(d)
+        if item.spoken(doc, where):
+            yield k
+
+
+def _block(said: DataFrame, items: list[Item]) -> DataFrame:
+    rare = rarity(said, frozenset(s for i in items for s in i.shingles))
     by_prefix: dict[tuple[str, str], list[int]] = defaultdict(list)
     for k, item in enumerate(items):
         for s in item.prefixes(rare):
             by_prefix[s].append(k)
-    shared = spark.sparkContext.broadcast((items, dict(by_prefix)))
+    shared = said.sparkSession.sparkContext.broadcast((items, dict(by_prefix)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine, by = shared.value
         prefixes = frozenset(by)
+        single = frozenset(w for i in mine if i.single for w in i.words)
         for batch in batches:
             docs, leaked = [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                doc = words(text)
-                pairs = list(zip(doc, doc[1:]))
-                held = set(pairs)
-                if single:
-                    held.update((w, "") for w in doc)
-                met = held & prefixes
-                if not met:
-                    continue
-                candidates = {k for s in met for k in by[s]}
-                where: dict[tuple[str, str], list[int]] | None = None
-                for k in sorted(candidates):
-                    item = mine[k]
-                    if len(item.places.keys() & held) < item.needed:
-                        continue
-                    if where is None:
-                        where = defaultdict(list)
-                        for d, s in enumerate(pairs):
-                            where[s].append(d)
-                        if single:
-                            for d, w in enumerate(doc):
-                                where[(w, "")].append(d)
-                    if item.spoken(doc, where):
-                        docs.append(doc_id)
-                        leaked.append(item.item_id)
+            for doc_id, readings in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                met: set[int] = set()
+                for text in readings:
+                    met.update(list(_leaking(text.split(" "), mine, by, prefixes, single, met)))
+                docs += [doc_id] * len(met)
+                leaked += [mine[k].item_id for k in sorted(met)]
             yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(leaked, pa.int64())], names=["doc_id", "item_id"])
 
-    chosen = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
-    return chosen.mapInArrow(run, "doc_id bigint, item_id bigint")
+    return said.mapInArrow(run, "doc_id bigint, item_id bigint")
 
 
-def leaks(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", passage_col: str = "passage", per_block: int = ITEMS_PER_BLOCK) -> DataFrame:
+def blocks_of(items: DataFrame, bound: int = BLOCK) -> DataFrame:
+    """Adds ``block``: by hash, as many as keep the characters of each block within the bound, or each passage alone."""
+    sized = items.withColumn("_size", F.length("passage"))
+    total = sized.agg(F.coalesce(F.sum("_size"), F.lit(0)).alias("c"), F.count(F.lit(1)).alias("n"), F.coalesce(F.max("_size"), F.lit(0)).alias("most")).first()
+    blocks = max(1, -(-total.c // bound))
+    while True:
+        placed = sized.withColumn("block", F.pmod(F.xxhash64("item_id", "passage"), F.lit(blocks)))
+        heavy = placed.groupBy("block").agg(F.sum("_size").alias("c")).agg(F.max("c")).first()[0] or 0
+        if heavy <= max(bound, total.most) or blocks > 1000 * total.n:
+            return placed.drop("_size")
+        blocks *= 2
+
+
+def leaks(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", passage_col: str = "passage", bound: int = BLOCK) -> DataFrame:
     """(doc_id, item_id) of every document and passage it speaks, fully or in part."""
+    spark = documents.sparkSession
+    speech = Speech(look_alikes(spark))
     chosen = items.select(F.col(item_col).cast("bigint").alias("item_id"), F.col(passage_col).cast("string").alias("passage")).where("item_id is not null and passage is not null")
-    blocks = max(1, -(-chosen.count() // per_block))
-    found = []
-    for b in range(blocks):
-        mine = chosen.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b) if blocks > 1 else chosen
-        held = [i for i in (Item(r.item_id, r.passage) for r in mine.collect()) if i.words]
+    scratch = Scratch(spark, "leaks")
+    placed = scratch.write(blocks_of(chosen, bound), "items")
+    found, said = [], None
+    for (block,) in placed.select("block").distinct().orderBy("block").collect():
+        held = [i for i in (Item(r.item_id, speech.words(r.passage)) for r in placed.where(F.col("block") == block).collect()) if i.words]
         if held:
-            found.append(_block(documents, held, id_col, text_col))
+            said = scratch.write(spoken_words(documents, id_col, text_col), "said") if said is None else said
+            found.append(_block(said, held))
     if not found:
         return documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.lit(None).cast("bigint").alias("item_id")).limit(0)
     return reduce(DataFrame.union, found)

@@ -1,5 +1,6 @@
 import random
 import uuid
+from functools import reduce
 
 import pytest
 
@@ -39,11 +40,30 @@ def test_star_chain_pairs_and_dirt(spark):
     assert run(spark, links) == groups(links)
 
 
-@pytest.mark.parametrize("cap", [1, 2, 12])
-def test_long_chain_on_the_giant_with_the_search_cut_off(spark, cap):
-    v = ids(90, 1)
-    links = [(v[0], x) for x in v[1:25]] + list(zip(v[24:60], v[25:60])) + [(v[70], v[71]), (v[71], v[72])]
-    assert run(spark, links, max_rounds=cap) == groups(links)
+def test_long_chains_cost_few_rounds(spark, monkeypatch):
+    """A chain on the giant, one between two stars, and one alone; the search itself meets a few rounds only."""
+    v = ids(400, 1)
+    links = [(v[0], x) for x in v[1:25]] + list(zip(v[24:160], v[25:160])) + [(v[159], x) for x in v[160:170]] + list(zip(v[200:330], v[201:330])) + [(v[340], v[341]), (v[341], v[342])]
+    written = []
+    write = C.Scratch.write
+    monkeypatch.setattr(C.Scratch, "write", lambda self, df, name, *a: written.append(name) or write(self, df, name, *a))
+    assert run(spark, links) == groups(links)
+    assert sum(name.startswith("reached-") for name in written) <= 8 and "rest" in written
+
+
+def test_giant_is_peeled_to_its_end_and_removed(spark, monkeypatch):
+    """On the largest test table the search ends by itself and what is left holds no vertex of the giant."""
+    kept = {}
+    write = C.Scratch.write
+    monkeypatch.setattr(C.Scratch, "write", lambda self, df, name, *a: kept.setdefault(name, write(self, df, name, *a)))
+    dir_ = "/root/testdata/sf0.1"
+    links = C.image_links(spark.read.parquet(f"{dir_}/image.parquet"), spark.read.parquet(f"{dir_}/check_result.parquet"))
+    labels = C.components(links)
+    rounds = sorted((n for n in kept if n.startswith("reached-")), key=lambda n: int(n.split("-")[1]))
+    giant, rest = reduce(lambda x, y: x.union(y), [kept[n] for n in rounds]), kept["rest"]
+    assert kept[rounds[-1]].count() == 0 and giant.count() > 100 and rest.count() > 0
+    assert C._both_ways(rest).join(giant.withColumnRenamed("v", "a"), "a").count() == 0
+    assert labels.count() == labels.select("v").distinct().count()
 
 
 def test_random_graph(spark):
@@ -52,6 +72,12 @@ def test_random_graph(spark):
     assert run(spark, links) == groups(links)
 
 
+def test_chains_alone_and_a_ring(spark):
+    v = ids(40, 3)
+    links = list(zip(v[:12], v[1:13])) + list(zip(v[20:30], v[21:31])) + [(v[30], v[20])]
+    assert run(spark, links) == groups(links)
+
+
 def test_no_links(spark):
     assert run(spark, []) == {}
 
@@ -66,7 +92,7 @@ def test_matched_ids():
     assert [C.matched_ids(t) for t in good] == [[h]] * len(good)
     bad = [
         None, "", "null", "[]", "{}", "12", f'{{"matchType":"none","matchedImageId":"{u}"}}', f'{{"matchType":"exact","matchedImageId":"{u}"', f'{{"matchType":"exact","candidates":[{{"id":"{u}"}}]}}',
-        '{"matchType":"exact","matchedImageId":null}', f'{{"matchType":"exact","matchedImageId":"{h}00"}}', f'{{"matchedImageId":"{u}"}}', '{"matchType":"exact","match":[1]}',
+        '{"matchType":"exact","matchedImageId":null}', f'{{"matchType":"exact","score":NaN,"matchedImageId":"{u}"}}', f'{{"matchType":"exact","matchedImageId":"{h}00"}}', f'{{"matchedImageId":"{u}"}}', '{"matchType":"exact","match":[1]}',
     ]
     assert [C.matched_ids(t) for t in bad] == [[]] * len(bad)
 
