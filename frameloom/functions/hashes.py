@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,6 +23,12 @@ def usable_hex(text: Column, digits: int) -> Column:
     return F.when(found != "", found)
 
 
+def usable_sql(column: str, digits: int) -> str:
+    """The same rule in the SQL that queries are compared with."""
+    blanks = re.sub(r"\\u([0-9a-f]{4})", r"\\x{\1}", BLANKS)
+    return f"nullif(regexp_extract(lower(regexp_replace({column}, '{blanks}', '', 'g')), '^{PREFIX}([0-9a-f]{{{digits}}})$', 1), '')"
+
+
 def hex64(digits: Column) -> Column:
     """16 hex digits as a signed 64-bit value with the same bits."""
     half = lambda at: F.conv(F.substring(digits, at, 8), 16, 10).cast("bigint")

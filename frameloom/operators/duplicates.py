@@ -1,60 +1,87 @@
-"""Exact and near duplicates of a table of fingerprints (id, sha256_hash, ahash_hi, ahash_lo, uploaded_at).
+"""Exact and near duplicates of a table of fingerprints (id, sha256_hash, perceptual_hash and its halves ahash_hi, ahash_lo, uploaded_at).
 
-Exact: of each hash the two earliest rows are kept; a row's match is the first of them that is not
-itself, so a hash that a third of all rows share costs as much as any other. Near: by default the
-snapshot rule, the newest ``window`` fingerprints other than the row's own, the closest of them,
+Hashes count by their usable digits, however they are written; halves that are missing are taken from the
+perceptual hash. Exact: of each hash the two earliest rows are kept, by one aggregation whose partial results come before the
+shuffle; a row's match is the first of them that is not itself, so a hash that a third of all rows share costs as much as any other.
+Near: by default the snapshot rule, the newest ``window`` fingerprints other than the row's own, the closest of them,
 the newer of two equally close. ``as_of="upload"`` looks at the ``window`` uploads before the row
-instead, and ``unbounded`` compares all pairs within the distance by band keys.
+instead, and ``near_pairs`` compares all pairs within the distance by band keys. Rows with an exact match are not searched for near ones.
+
+Rows without a usable hash have no exact match, rows without a usable fingerprint no near one. Repeated rows of one id repeat its answer.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from frameloom.config import Config
 from frameloom.functions.columns import fingerprint_hex
-from frameloom.functions.hashes import hamming_halves
+from frameloom.functions.hashes import hamming_halves, usable_hex
+from frameloom.operators.skew import hot_of, salted
+from frameloom.session import Scratch
 
 SNAPSHOT, UPLOAD = "snapshot", "upload"
 
 
+def fingerprinted(rows: DataFrame) -> DataFrame:
+    """(id, uploaded_at, ahash_hi, ahash_lo) of the rows with a fingerprint: their halves, or those of a usable perceptual hash."""
+    hi, lo = F.col("ahash_hi"), F.col("ahash_lo")
+    if "perceptual_hash" in rows.columns:
+        digits = usable_hex(F.col("perceptual_hash"), 16)
+        whole = hi.isNotNull() & lo.isNotNull()
+        half = lambda at: F.conv(F.substring(digits, at, 8), 16, 10).cast("bigint")
+        hi, lo = F.when(whole, hi).otherwise(half(1)), F.when(whole, lo).otherwise(half(9))
+    return rows.select("id", "uploaded_at", hi.alias("ahash_hi"), lo.alias("ahash_lo")).where("ahash_hi is not null and ahash_lo is not null")
+
+
 def exact_matches(rows: DataFrame) -> DataFrame:
     """(id, matched_id, matched_at): for each row with a copy, the earliest other one."""
-    held = rows.where(F.col("sha256_hash").isNotNull()).select("id", "sha256_hash", "uploaded_at")
+    held = rows.select("id", "uploaded_at", usable_hex(F.col("sha256_hash"), 64).alias("sha")).where(F.col("sha").isNotNull())
+    scratch = Scratch(rows.sparkSession, "exact")
+    held, n = scratch.write_counted(held, "held")
     spot = F.struct(F.col("uploaded_at").alias("at"), F.col("id").alias("id"))
-    first = held.groupBy("sha256_hash").agg(F.min(spot).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    mine = held.join(first, "sha256_hash")
-    second = mine.where(F.col("id") != F.col("first.id")).groupBy("sha256_hash").agg(F.min(spot).alias("second"))
-    both = first.join(second, "sha256_hash").select("sha256_hash", "first", "second")
+    # The least place and the greatest in one pass; only where there are more rows may the second lie between.
+    first = held.groupBy("sha").agg(F.min(spot).alias("first"), F.max(spot).alias("last"), F.count(F.lit(1)).alias("n")).where("first.id <> last.id")
+    first = scratch.write(first, "first")
+    hot = hot_of(first.where("n > 2"), "sha", "n", n["n"])
+    mine, theirs = salted(held, first.where("n > 2").select("sha", "first"), "sha", F.col("id"), n["n"], hot)
+    between = mine.join(theirs, ["sha", "_salt"]).where(F.col("id") != F.col("first.id")).groupBy("sha").agg(F.min(spot).alias("second"))
+    both = first.join(between, "sha", "left").select("sha", "first", F.coalesce("second", "last").alias("second"))
+    mine, theirs = salted(held, scratch.write(both, "both"), "sha", F.col("id"), n["n"], hot_of(first, "sha", "n", n["n"]))
     match = F.when(F.col("id") == F.col("first.id"), F.col("second")).otherwise(F.col("first"))
-    return held.join(both, "sha256_hash").select("id", match["id"].alias("matched_id"), match["at"].alias("matched_at"))
+    return mine.join(theirs, ["sha", "_salt"]).select("id", match["id"].alias("matched_id"), match["at"].alias("matched_at"))
 
 
-def near_in_window(rows: DataFrame, config: Config) -> DataFrame:
-    """(id, matched_id, distance) under the snapshot rule.
+def near_in_window(rows: DataFrame, config: Config, asked: DataFrame | None = None) -> DataFrame:
+    """(id, matched_id, distance) under the snapshot rule, of all rows or of the ids in ``asked`` only.
 
     The candidates of every row lie among the newest window + 1 rows: a row inside the window
-    reaches one further in place of itself. That many rows, a configured number, are broadcast.
+    reaches one further in place of itself. That many rows, a configured number, are broadcast as one array, and
+    each row takes the closest of it within itself: nothing is grouped or shuffled.
     """
-    held = rows.where("ahash_hi is not null and ahash_lo is not null").select("id", "ahash_hi", "ahash_lo", "uploaded_at")
+    held = fingerprinted(rows)
     newest = held.orderBy(F.desc("uploaded_at"), F.desc("id")).limit(config.near_window + 1)
-    ranked = newest.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("uploaded_at"), F.desc("id"))))
-    other = ranked.select(F.col("id").alias("matched_id"), F.col("ahash_hi").alias("hi"), F.col("ahash_lo").alias("lo"), "rank")
-    own = ranked.where(F.col("rank") <= config.near_window).select(F.col("id"), F.lit(1).alias("inside"))
-    pairs = held.join(F.broadcast(own), "id", "left").join(
-        F.broadcast(other), (F.col("id") != F.col("matched_id")) & (F.col("rank") <= config.near_window + F.coalesce("inside", F.lit(0)))
-    )
-    distance = hamming_halves(F.col("ahash_hi"), F.col("ahash_lo"), F.col("hi"), F.col("lo"))
-    best = pairs.groupBy("id").agg(F.min(F.struct(distance.alias("distance"), F.col("rank"), F.col("matched_id"))).alias("best"))
-    return best.where(F.col("best.distance") <= config.near_distance).select("id", F.col("best.matched_id").alias("matched_id"), F.col("best.distance").alias("distance"))
+    ordered = F.sort_array(F.collect_list(F.struct("uploaded_at", "id", "ahash_hi", "ahash_lo")), asc=False)
+    near = newest.agg(F.transform(ordered, lambda c, k: F.struct(c["uploaded_at"].alias("at"), c["id"].alias("id"), c["ahash_hi"].alias("hi"), c["ahash_lo"].alias("lo"), (k + 1).alias("rank"))).alias("near"))
+    if asked is not None:
+        held = held.join(asked, "id", "left_semi")
+    last = F.get("near", F.lit(config.near_window - 1))
+    inside = F.coalesce(F.struct(F.col("uploaded_at"), F.col("id")) >= F.struct(last["at"], last["id"]), F.lit(True))
+
+    def candidate(c: Column) -> Column:
+        distance = hamming_halves(F.col("ahash_hi"), F.col("ahash_lo"), c["hi"], c["lo"])
+        return F.when((c["id"] != F.col("id")) & (c["rank"] <= F.col("reach")), F.struct(distance.alias("distance"), c["rank"].alias("rank"), c["id"].alias("id")))
+
+    # One row of one aggregate; its array has window + 1 elements at most.
+    found = held.join(F.broadcast(near)).withColumn("reach", config.near_window + inside.cast("int")).select("id", F.array_min(F.transform("near", candidate)).alias("best"))
+    found = found.where(F.col("best.distance") <= config.near_distance)
+    return found.select("id", F.col("best.id").alias("matched_id"), F.col("best.distance").alias("distance"))
 
 
 def with_sequence(rows: DataFrame) -> DataFrame:
     """Adds ``seq``, the place in (uploaded_at, id) order from 0: a range sort and offsets per partition, no single task."""
     ordered = rows.repartitionByRange("uploaded_at", "id").sortWithinPartitions("uploaded_at", "id").withColumn("_p", F.spark_partition_id())
-    from frameloom.session import Scratch
-
     ordered = Scratch(rows.sparkSession, "sequence").write(ordered, "ordered")
     counts = ordered.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     # One row per partition, so a single task may order them.
@@ -66,7 +93,7 @@ def with_sequence(rows: DataFrame) -> DataFrame:
 def near_before_upload(rows: DataFrame, config: Config) -> DataFrame:
     """(id, matched_id, distance) among the ``window`` fingerprints uploaded just before the row; blocks meet by equal number."""
     w = config.near_window
-    held = with_sequence(rows.where("ahash_hi is not null and ahash_lo is not null").select("id", "ahash_hi", "ahash_lo", "uploaded_at"))
+    held = with_sequence(fingerprinted(rows))
     block = F.floor(F.col("seq") / w)
     left = held.select("id", "ahash_hi", "ahash_lo", "seq", F.explode(F.array(block, block - 1)).alias("block"))
     right = held.select(F.col("id").alias("matched_id"), F.col("ahash_hi").alias("hi"), F.col("ahash_lo").alias("lo"), F.col("seq").alias("s"), block.alias("block"))
@@ -99,16 +126,18 @@ def near_pairs(fingerprints: DataFrame, distance: int) -> DataFrame:
 
 def fingerprint_classes(rows: DataFrame) -> DataFrame:
     """Each different fingerprint once: smallest id as class, and the number of its rows."""
-    held = rows.where("ahash_hi is not null and ahash_lo is not null")
+    held = fingerprinted(rows.withColumn("uploaded_at", F.lit(None)))
     return held.groupBy("ahash_hi", "ahash_lo").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("members"))
 
 
 def verdicts(rows: DataFrame, config: Config, as_of: str = SNAPSHOT) -> DataFrame:
-    """(id, match_type, matched_id, matched_at, distance) of every row with a match; exact comes first."""
-    exact = exact_matches(rows).select("id", F.lit("exact").alias("match_type"), "matched_id", "matched_at", F.lit(None).cast("int").alias("distance"))
-    near = near_in_window(rows, config) if as_of == SNAPSHOT else near_before_upload(rows, config)
-    near = near.join(exact.select("id"), "id", "left_anti").select("id", F.lit("near_duplicate").alias("match_type"), "matched_id", F.lit(None).cast(rows.schema["uploaded_at"].dataType).alias("matched_at"), F.col("distance").cast("int").alias("distance"))
-    return exact.unionByName(near)
+    """(id, match_type, matched_id, matched_at, distance) of every row with a match; exact comes first, and only the rest is searched for near ones."""
+    exact = Scratch(rows.sparkSession, "verdicts").write(exact_matches(rows), "exact")
+    rest = rows.select("id").join(exact.select("id"), "id", "left_anti")
+    near = near_in_window(rows, config, rest) if as_of == SNAPSHOT else near_before_upload(rows, config).join(rest, "id", "left_semi")
+    told = exact.select("id", F.lit("exact").alias("match_type"), "matched_id", "matched_at", F.lit(None).cast("int").alias("distance"))
+    near = near.select("id", F.lit("near_duplicate").alias("match_type"), "matched_id", F.lit(None).cast(rows.schema["uploaded_at"].dataType).alias("matched_at"), F.col("distance").cast("int").alias("distance"))
+    return told.unionByName(near)
 
 
 def with_fingerprint_text(rows: DataFrame) -> DataFrame:

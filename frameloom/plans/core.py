@@ -16,6 +16,7 @@ from frameloom import api, dashboard
 from frameloom import schema as S
 from frameloom.config import Config
 from frameloom.functions import columns as C
+from frameloom.functions.hashes import usable_sql
 from frameloom.operators import checks, duplicates, lifecycle, plates, report
 from frameloom.operators.nested import NestedReports
 from frameloom.session import table
@@ -226,8 +227,12 @@ def analyzed_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- duplicates -------------------------------------------------------------------------------------
 
-_EXACT = """x AS (SELECT a.id, first(b.id ORDER BY b.uploaded_at, b.id) AS matched_id, min(b.uploaded_at) AS matched_at
-  FROM image a JOIN image b ON a.sha256_hash = b.sha256_hash AND a.id <> b.id GROUP BY a.id)"""
+# Usable hashes, and fingerprints from the hash text where the halves are missing.
+_HASHED = f"""u AS (SELECT id, uploaded_at, {usable_sql('sha256_hash', 64)} AS sha, {usable_sql('perceptual_hash', 16)} AS dig, ahash_hi, ahash_lo FROM image),
+  fp AS (SELECT id, uploaded_at, CASE WHEN ahash_hi IS NOT NULL AND ahash_lo IS NOT NULL THEN ahash_hi ELSE ('0x' || substring(dig, 1, 8))::BIGINT END AS ahash_hi,
+         CASE WHEN ahash_hi IS NOT NULL AND ahash_lo IS NOT NULL THEN ahash_lo ELSE ('0x' || substring(dig, 9, 8))::BIGINT END AS ahash_lo FROM u)"""
+_EXACT = f"""{_HASHED}, x AS (SELECT a.id, first(b.id ORDER BY b.uploaded_at, b.id) AS matched_id, min(b.uploaded_at) AS matched_at
+  FROM u a JOIN u b ON a.sha = b.sha AND a.id <> b.id GROUP BY a.id)"""
 _DIST = "bit_count(xor({0}.ahash_hi, {1}.ahash_hi)) + bit_count(xor({0}.ahash_lo, {1}.ahash_lo))"
 
 
@@ -244,7 +249,7 @@ def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicates.exact_matches(table(spark, sf_dir, "image"))
 
 
-@query(f"WITH {_near_sql('image', CONFIG.near_window, CONFIG.near_distance)} SELECT * FROM near")
+@query(f"WITH {_HASHED}, {_near_sql('fp', CONFIG.near_window, CONFIG.near_distance)} SELECT * FROM near")
 def near_duplicates_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicates.near_in_window(table(spark, sf_dir, "image"), CONFIG)
 
@@ -254,25 +259,25 @@ def near_grids_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicates.near_in_window(grid_fingerprints(spark, sf_dir), GRID)
 
 
-@query(f"""WITH s AS (SELECT id, ahash_hi, ahash_lo, row_number() OVER (ORDER BY uploaded_at, id) AS seq FROM image WHERE ahash_hi IS NOT NULL AND ahash_lo IS NOT NULL),
+@query(f"""WITH {_HASHED}, s AS (SELECT id, ahash_hi, ahash_lo, row_number() OVER (ORDER BY uploaded_at, id) AS seq FROM fp WHERE ahash_hi IS NOT NULL AND ahash_lo IS NOT NULL),
   p AS (SELECT a.id, b.id AS matched_id, ({_DIST.format('a', 'b')})::INTEGER AS distance, b.seq FROM s a JOIN s b ON b.seq < a.seq AND b.seq >= a.seq - {CONFIG.near_window})
   SELECT id, matched_id, distance FROM p WHERE distance <= {CONFIG.near_distance} QUALIFY row_number() OVER (PARTITION BY id ORDER BY distance, seq DESC) = 1""")
 def near_duplicates_upload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicates.near_before_upload(table(spark, sf_dir, "image"), CONFIG)
 
 
-@query(f"""WITH f AS (SELECT ahash_hi, ahash_lo, min(id) AS id FROM image WHERE ahash_hi IS NOT NULL AND ahash_lo IS NOT NULL GROUP BY ALL)
+@query(f"""WITH {_HASHED}, f AS (SELECT ahash_hi, ahash_lo, min(id) AS id FROM fp WHERE ahash_hi IS NOT NULL AND ahash_lo IS NOT NULL GROUP BY ALL)
   SELECT a.id AS id_a, b.id AS id_b, ({_DIST.format('a', 'b')})::INTEGER AS distance FROM f a JOIN f b ON a.id < b.id AND {_DIST.format('a', 'b')} <= {CONFIG.near_distance}""")
 def near_duplicates_banded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicates.near_pairs(table(spark, sf_dir, "image"), CONFIG.near_distance)
 
 
-@query("SELECT min(id) AS class_id, count(*) AS members FROM image WHERE ahash_hi IS NOT NULL AND ahash_lo IS NOT NULL GROUP BY ahash_hi, ahash_lo")
+@query(f"WITH {_HASHED} SELECT min(id) AS class_id, count(*) AS members FROM fp WHERE ahash_hi IS NOT NULL AND ahash_lo IS NOT NULL GROUP BY ahash_hi, ahash_lo")
 def fingerprint_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicates.fingerprint_classes(table(spark, sf_dir, "image")).select("class_id", "members")
 
 
-@query(f"""WITH {_EXACT}, {_near_sql('image', CONFIG.near_window, CONFIG.near_distance)}
+@query(f"""WITH {_EXACT}, {_near_sql('fp', CONFIG.near_window, CONFIG.near_distance)}
   SELECT id, 'exact' AS match_type, matched_id, matched_at, NULL::INTEGER AS distance FROM x
   UNION ALL SELECT id, 'near_duplicate', matched_id, NULL, distance FROM near WHERE id NOT IN (SELECT id FROM x)""")
 def duplicate_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:

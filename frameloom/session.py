@@ -52,6 +52,8 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        #: Names of the tables written so far.
+        self.made: list[str] = []
         self.root = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
         _roots.setdefault(spark.sparkContext.applicationId, []).append(self.root)
         system, path = _file_system(spark, self.root)
@@ -65,6 +67,7 @@ class Scratch:
         if partition_by:
             writer = writer.partitionBy(*partition_by)
         writer.parquet(self.path(name))
+        self.made.append(name)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def write_counted(self, df: DataFrame, name: str, **counts: Column) -> tuple[DataFrame, dict[str, int]]:

@@ -17,7 +17,7 @@ def rows(seed, n, base=4):
         for _ in range(rng.randrange(8)):
             lo ^= 1 << rng.randrange(32)
         none = rng.random() < 0.1
-        out.append((f"id{i:03}", rng.choice(["s1", "s2", "s3", f"u{i}", None]), None if none else hi, None if none else lo, T0 + dt.timedelta(minutes=rng.randrange(40)), "x"))
+        out.append((f"id{i:03}", rng.choice(["a1" * 32, "a2" * 32, "A3" * 32, f"{i:064x}", None]), None if none else hi, None if none else lo, T0 + dt.timedelta(minutes=rng.randrange(40)), "x"))
     return out
 
 
@@ -70,8 +70,27 @@ def test_band_pairs_equal_brute_force(spark):
     assert got == want
 
 
+def test_hash_texts_count_by_their_digits(spark):
+    """Halves that are missing come from the perceptual hash, and spellings of one hash are one hash."""
+    ddl = "id string, sha256_hash string, perceptual_hash string, ahash_hi bigint, ahash_lo bigint, uploaded_at timestamp"
+    sha, t = "ab" * 32, [T0 + dt.timedelta(hours=h) for h in range(6)]
+    data = [
+        ("a", sha, None, None, None, t[0]), ("b", f"SHA256:{sha.upper()} ", None, None, None, t[1]), ("c", sha[:-1] + "?", "0x00000000000000ff", None, None, t[2]),
+        ("d", None, "00000000000000FE", 0, 0xFE, t[3]), ("e", None, "zz", None, None, t[4]), ("f", None, " 00000000000000fc", None, 7, t[5]),
+    ]
+    got = {r.id: (r.match_type, r.matched_id, r.distance) for r in D.verdicts(spark.createDataFrame(data, ddl), Config(near_distance=1)).collect()}
+    assert got == {"a": ("exact", "b", None), "b": ("exact", "a", None), "c": ("near_duplicate", "d", 1), "d": ("near_duplicate", "f", 1), "f": ("near_duplicate", "d", 1)}
+
+
+def test_hot_hash(spark):
+    data = [(f"id{i:04}", ("ab" * 32 if i % 3 else f"{i:064x}"), None, None, T0 + dt.timedelta(minutes=i), "x") for i in range(3000)]
+    got = {r.id: r.matched_id for r in D.exact_matches(spark.createDataFrame(data, DDL)).collect()}
+    hot = [r[0] for r in data if r[1] == "ab" * 32]
+    assert got == {i: hot[1] if i == hot[0] else hot[0] for i in hot}
+
+
 def test_three_copies(spark):
-    data = [(i, "s", None, None, T0 + dt.timedelta(hours=h), None) for i, h in (("b", 1), ("a", 2), ("c", 3))]
+    data = [(i, "c" * 64, None, None, T0 + dt.timedelta(hours=h), None) for i, h in (("b", 1), ("a", 2), ("c", 3))]
     assert {r.id: r.matched_id for r in D.exact_matches(spark.createDataFrame(data, DDL)).collect()} == {"b": "a", "a": "b", "c": "b"}
 
 
