@@ -8,11 +8,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frameloom.functions.hashes import BLANKS, PREFIX
+from frameloom.functions.hashes import usable_sql
 from frameloom.llm import components, history, leaks, quantiles, seen_keys, skeleton, tokens
 from frameloom.session import table
 
 
+#: Batches that go through a persisted index or through sealed filters one by one in the incremental queries.
+STEPS = 3
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen_keys.SeenKeys(table(spark, sf_dir, "image")).found()
 
@@ -21,14 +25,24 @@ def p1_error_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen_keys.SeenKeys(table(spark, sf_dir, "image")).report()
 
 
+def p1_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the report states without the filters' own answers, rounded for the comparison with SQL."""
+    told = seen_keys.SeenKeys(table(spark, sf_dir, "image")).report()
+    return told.select(F.col("batch_day").cast("string").alias("batch_day"), "probed_keys", "true_seen", "generations", F.round("wrong_rate_bound", 12).alias("wrong_rate_bound"))
+
+
+def p1_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last days, each probed against sealed filters and then sealed itself."""
+    return seen_keys.incremental(table(spark, sf_dir, "image"), STEPS)
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.replay(table(spark, sf_dir, "image"))
 
 
-def p2_last_day(spark: SparkSession, sf_dir: str) -> DataFrame:
-    images = table(spark, sf_dir, "image")
-    last = images.agg(F.max(F.datediff("uploaded_at", F.lit("1970-01-01")))).first()[0]
-    return history.new_batch(images, F.lit(last))
+def p2_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last days, each probed against a written index and appended to it."""
+    return history.incremental(table(spark, sf_dir, "image"), STEPS)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,21 +82,11 @@ def p8_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (p1_found, p1_error_report, p2_found, p2_last_day, p3_found, p5_daily_sketches, p5_percentiles, p6_ids, p7_found, p7_leaked_items, p8_found, p8_classes)
+        for f in (p1_found, p1_error_report, p1_bounds, p1_incremental, p2_found, p2_incremental, p3_found, p5_daily_sketches, p5_percentiles, p6_ids, p7_found, p7_leaked_items, p8_found, p8_classes)
     }
 
 
-#: The same character class in the other engine's notation.
-_BLANKS = BLANKS.replace("\\u", "\\x{")
-for _code in ("0085", "00a0", "1680", "2000", "200f", "2028", "2029", "202f", "205f", "2060", "3000", "feff"):
-    _BLANKS = _BLANKS.replace("\\x{" + _code, "\\x{" + _code + "}")
-
-
-def _usable(column: str, digits: int) -> str:
-    return f"nullif(regexp_extract(lower(regexp_replace({column}, '{_BLANKS}', '', 'g')), '^{PREFIX}([0-9a-f]{{{digits}}})$', 1), '')"
-
-
-_SHA, _SIG = _usable("sha256_hash", 64), _usable("perceptual_hash", 16)
+_SHA, _SIG = usable_sql("sha256_hash", 64), usable_sql("perceptual_hash", 16)
 
 _BATCHES = f"""
   r AS (SELECT id, uploaded_at::DATE AS day, {_SHA} AS h, ('0x' || {_SIG})::UBIGINT AS s FROM image),
@@ -126,8 +130,14 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": f"""WITH r AS (SELECT id, row_number() OVER (PARTITION BY {_SHA} ORDER BY uploaded_at, id) AS k FROM image WHERE {_SHA} IS NOT NULL)
             SELECT id AS image_id FROM r WHERE k > 1""",
+        "p1_bounds": f"""WITH r AS (SELECT uploaded_at::DATE AS day, {_SHA} AS h FROM image WHERE {_SHA} IS NOT NULL), k AS (SELECT DISTINCT day, h FROM r), f AS (SELECT h, min(day) AS first FROM k GROUP BY h),
+            d AS (SELECT day, count(*) AS probed_keys, count(*) FILTER (first < day) AS true_seen, count(*) FILTER (first = day) AS new_keys FROM k JOIN f USING (h) GROUP BY day)
+            SELECT day::VARCHAR AS batch_day, probed_keys, true_seen, (row_number() OVER (ORDER BY day) - 1)::INTEGER AS generations,
+                   round(1 - pow(1 - pow(2.0::DOUBLE, -16), row_number() OVER (ORDER BY day) - 1) + coalesce(sum(new_keys) OVER (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / pow(2.0::DOUBLE, 64), 12) AS wrong_rate_bound FROM d""",
+        "p1_incremental": f"""WITH r AS (SELECT id, uploaded_at::DATE AS day, CASE WHEN {_SHA} IS NOT NULL THEN row_number() OVER (PARTITION BY {_SHA} ORDER BY uploaded_at, id) END AS k FROM image)
+            SELECT id AS image_id FROM r WHERE k > 1 AND day IN (SELECT DISTINCT day FROM r ORDER BY day DESC LIMIT {STEPS})""",
         "p2_found": f"WITH {_BATCHES} SELECT image_id, match_kind FROM told WHERE match_kind IS NOT NULL",
-        "p2_last_day": f"WITH {_BATCHES} SELECT image_id, match_kind FROM told WHERE match_kind IS NOT NULL AND day = (SELECT max(day) FROM r)",
+        "p2_incremental": f"WITH {_BATCHES} SELECT image_id, match_kind FROM told WHERE match_kind IS NOT NULL AND day IN (SELECT DISTINCT day FROM r ORDER BY day DESC LIMIT {STEPS})",
         "p3_found": f"WITH RECURSIVE {_LINKS} SELECT v AS image_id, min(w) AS group_id FROM reach GROUP BY v",
         "p5_daily_sketches": f"WITH {_MEASURES} SELECT * FROM b",
         "p5_percentiles": f"""WITH {_MEASURES}, s AS (SELECT kind, measure, sign, bucket, sum(n) AS n FROM b GROUP BY ALL),
