@@ -102,7 +102,25 @@ def failure_of(images: DataFrame, image_id: str) -> DataFrame:
     row = _one(images, image_id)
     if (status := _state(row)) != S.FAILED:
         raise NotReady(status)
-    return row.select("id", "status", "attempts", "failure_reason")
+    return failed(row)
+
+
+def completed(images: DataFrame) -> DataFrame:
+    """What is ready to be read; a score that is not a number is none."""
+    score = F.col("analysis_result.confidence_score")
+    return images.where(F.col("status") == S.COMPLETED).select("id", "status", "processed_at", F.when(~F.isnan(score), score).alias("confidence_score"))
+
+
+def failed(images: DataFrame) -> DataFrame:
+    return images.where(F.col("status") == S.FAILED).select("id", "status", "attempts", "failure_reason")
+
+
+def queue(images: DataFrame) -> DataFrame:
+    return images.where(F.col("status").isin(S.PENDING, S.PROCESSING)).select("id", "status", "attempts", "uploaded_at")
+
+
+def by_status(images: DataFrame) -> DataFrame:
+    return images.groupBy("status").agg(F.count(F.lit(1)).alias("images"))
 
 
 def acknowledged(pending: DataFrame) -> DataFrame:
@@ -135,4 +153,4 @@ def failure_or_none(images: DataFrame, image_id: str) -> DataFrame | None:
 
 def unfinished(images: DataFrame) -> DataFrame:
     """The distinct images a client still polls."""
-    return images.where(F.col("status").isin(S.PENDING, S.PROCESSING)).select("id").distinct()
+    return queue(images).select("id").distinct()

@@ -21,7 +21,7 @@ def counts(page: DataFrame) -> DataFrame:
     return page.agg(
         F.count(F.lit(1)).alias("shown"),
         F.count_if(F.col("status") == S.COMPLETED).alias("completed"),
-        F.count_if(F.coalesce(F.col("analysis_result.overall_status") == "flagged", F.lit(False))).alias("flagged"),
+        F.count_if((F.col("status") == S.COMPLETED) & (F.col("analysis_result.overall_status") == "flagged")).alias("flagged"),
         F.count_if(F.col("status").isin(S.PENDING, S.PROCESSING)).alias("active"),
     )
 

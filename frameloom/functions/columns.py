@@ -16,6 +16,26 @@ def half_up(value: Column, places: int) -> Column:
     return F.floor(value * scale + 0.5) / scale
 
 
+def fixed(value: Column, places: int) -> Column:
+    """Text with so many decimals, halves away from zero."""
+    return F.format_string(f"%.{places}f", value.cast("double"))
+
+
+def laplacian_spread(pixels: Column, side: int) -> Column:
+    """n^2 times the population variance of the clipped 4-neighbour Laplacian of a square grid of n pixels, edges repeated, in exact integers."""
+    n = side * side
+    at = lambda i: F.get(pixels, i.cast("int"))
+
+    def response(i: Column) -> Column:
+        up, down = F.when(i < side, i).otherwise(i - side), F.when(i >= n - side, i).otherwise(i + side)
+        left, right = F.when(i % side == 0, i).otherwise(i - 1), F.when(i % side == side - 1, i).otherwise(i + 1)
+        return F.greatest(F.lit(0), F.least(F.lit(255), at(up) + at(down) + at(left) + at(right) - at(i) * 4))
+
+    zero = F.struct(F.lit(0).cast("bigint").alias("s"), F.lit(0).cast("bigint").alias("q"))
+    made = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), response)
+    return F.aggregate(made, zero, lambda a, x: F.struct((a["s"] + x).alias("s"), (a["q"] + x * x).alias("q")), lambda a: a["q"] * n - a["s"] * a["s"])
+
+
 def average_hash_bits(pixels: Column) -> Column:
     """Array of 0/1: whether each pixel is at least the mean. Integers only, so no rounding is involved."""
     total = F.aggregate(pixels, F.lit(0).cast("bigint"), lambda acc, p: acc + p)
@@ -56,9 +76,9 @@ def size_label(size: Column) -> Column:
 
 
 def age_label(then: Column, now: Column) -> Column:
-    """JUST NOW within a minute, then whole minutes, hours or days."""
+    """JUST NOW within a minute, then whole minutes, hours or days ago."""
     s = F.unix_timestamp(now.cast("timestamp")) - F.unix_timestamp(then.cast("timestamp"))
-    shown = lambda unit, letter: F.concat(F.floor(s / unit).cast("string"), F.lit(letter))
+    shown = lambda unit, letter: F.concat(F.floor(s / unit).cast("string"), F.lit(f"{letter} AGO"))
     return F.when(s < 60, "JUST NOW").when(s < 3600, shown(60, "M")).when(s < 86400, shown(3600, "H")).otherwise(shown(86400, "D"))
 
 

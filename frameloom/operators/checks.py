@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from frameloom import schema as S
 from frameloom.config import DOCUMENTED, Config
-from frameloom.functions.columns import half_up
+from frameloom.functions.columns import fixed, half_up
 from frameloom.operators import plates
 
 SUSPICIOUS_SOFTWARE = "(?i)photoshop|gimp|snapseed|screenshot"
@@ -48,7 +48,7 @@ def blur(c: Config) -> Column:
     return verdict(
         S.BLUR, passed, F.lit("high"),
         details(laplacianVariance=half_up(variance, 2), threshold=F.lit(c.blur_threshold), resizedTo=F.col("resized_to")),
-        F.when(passed, "edges are sharp enough").otherwise("edges are too soft: probably blurred"),
+        F.when(passed, "edges are sharp enough").otherwise(F.concat(F.lit("edges are too soft, probably blurred: variance "), fixed(variance, 1), F.lit(f" below {c.blur_threshold}"))),
     )
 
 
@@ -58,7 +58,7 @@ def brightness(c: Config) -> Column:
     return verdict(
         S.BRIGHTNESS, ~(dark | bright), F.lit("medium"),
         details(meanBrightness=half_up(mean, 2), lowThreshold=F.lit(c.low_light), highThreshold=F.lit(c.overexposed)),
-        F.when(dark, "too little light").when(bright, "overexposed").otherwise("exposure is in range"),
+        F.when(dark, F.concat(F.lit("too little light: mean "), fixed(mean, 1))).when(bright, F.concat(F.lit("overexposed: mean "), fixed(mean, 1))).otherwise("exposure is in range"),
     )
 
 
@@ -123,7 +123,7 @@ def tampering(c: Config) -> Column:
     return verdict(
         S.TAMPERING, passed, F.lit("medium"),
         F.when(skipped, details(skipped=F.lit(True), reason=reason)).otherwise(measured),
-        F.when(skipped, reason).when(passed, "compression error is even").otherwise("compression error has spikes"),
+        F.when(skipped, reason).when(passed, "compression error is even").otherwise(F.concat(F.lit("compression error has spikes: ratio "), fixed(ratio, 1))),
     )
 
 

@@ -21,6 +21,11 @@ def backoff_ms(failures: Column, config: Config) -> Column:
     return (F.lit(config.backoff_ms) * F.pow(F.lit(2.0), failures - 1)).cast("bigint")
 
 
+def queued(pending: DataFrame) -> DataFrame:
+    """The first event of each new row; its number is fixed, so enqueuing a row again is a repeat."""
+    return pending.select(F.col("id").alias("image_id"), F.lit(0).cast("bigint").alias("seq"), F.lit("queued").alias("event"), F.col("uploaded_at").alias("event_at"), F.lit(None).cast("string").alias("error")).dropDuplicates(["image_id"])
+
+
 def once(events: DataFrame) -> DataFrame:
     return events.dropDuplicates(["image_id", "seq"])
 

@@ -169,21 +169,12 @@ def _at(cell: str) -> str:
 _LAPLACE = "list_transform(range(64), lambda i: greatest(0, least(255, p[CASE WHEN i < 8 THEN i ELSE i - 8 END + 1] + p[CASE WHEN i >= 56 THEN i ELSE i + 8 END + 1] + p[CASE WHEN i % 8 = 0 THEN i ELSE i - 1 END + 1] + p[CASE WHEN i % 8 = 7 THEN i ELSE i + 1 END + 1] - 4 * p[i + 1])))"
 
 
-@query(f"""WITH {_GRID}, l AS (SELECT vec_id, {_LAPLACE} AS r FROM g), v AS (SELECT vec_id, (64 * list_sum(list_transform(r, lambda x: x::BIGINT * x)) - list_sum(r) * list_sum(r))::BIGINT AS spread FROM l)
-  SELECT vec_id, spread AS spread_times_4096, spread >= 100 * 4096 AS passed FROM v""")
+@query(f"""WITH {_GRID}, l AS (SELECT vec_id, {_LAPLACE} AS r FROM g), v AS (SELECT vec_id, (64 * list_sum(list_transform(r, lambda x: x::BIGINT * x)) - list_sum(r) * list_sum(r))::BIGINT / 4096.0::DOUBLE AS variance FROM l)
+  SELECT vec_id, floor(variance * 100 + 0.5) / 100 AS variance, variance >= 100 AS passed, CASE WHEN variance >= 100 THEN 'none' ELSE 'high' END AS severity FROM v""")
 def laplacian_blur_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clipped Laplacian and its population variance in exact integers, edges repeated."""
-    at = lambda i: F.get("thumb8x8", i.cast("int"))
-
-    def response(i):
-        up, down = F.when(i < 8, i).otherwise(i - 8), F.when(i >= 56, i).otherwise(i + 8)
-        left, right = F.when(i % 8 == 0, i).otherwise(i - 1), F.when(i % 8 == 7, i).otherwise(i + 1)
-        return F.greatest(F.lit(0), F.least(F.lit(255), at(up) + at(down) + at(left) + at(right) - at(i) * 4))
-
-    total = lambda c, f: F.aggregate(c, F.lit(0).cast("bigint"), lambda acc, x: acc + f(x))
-    made = grids(spark, sf_dir).withColumn("r", F.transform(F.sequence(F.lit(0), F.lit(63)), response))
-    spread = total("r", lambda x: x * x) * 64 - total("r", lambda x: x) * total("r", lambda x: x)
-    return made.select("vec_id", spread.alias("spread_times_4096")).withColumn("passed", F.col("spread_times_4096") >= 100 * 4096)
+    """The blur check on the clipped Laplacian of the grids, in exact integers."""
+    made = grids(spark, sf_dir).withColumns({"laplacian_var": C.laplacian_spread(F.col("thumb8x8"), 8) / 4096.0, "resized_to": F.lit("8x8")}).withColumn("c", checks.blur(CONFIG))
+    return made.select("vec_id", F.get_json_object("c.details_json", "$.laplacianVariance").cast("double").alias("variance"), "c.passed", "c.severity")
 
 
 @query(f"""WITH {_GRID}, m AS (SELECT vec_id, list_sum(p)::BIGINT / 64.0::DOUBLE AS mean FROM g)
@@ -363,10 +354,10 @@ def list_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT status, count(*) AS images FROM image GROUP BY status")
 def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "image").groupBy("status").agg(F.count(F.lit(1)).alias("images"))
+    return api.by_status(table(spark, sf_dir, "image"))
 
 
-@query("""SELECT count(*) AS shown, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (analysis_result.overall_status = 'flagged') AS flagged,
+@query("""SELECT count(*) AS shown, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'completed' AND analysis_result.overall_status = 'flagged') AS flagged,
   count(*) FILTER (status IN ('pending', 'processing')) AS active FROM image""")
 def dashboard_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dashboard.counts(table(spark, sf_dir, "image"))
@@ -374,7 +365,7 @@ def dashboard_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT id, status, attempts, uploaded_at FROM image WHERE status IN ('pending', 'processing')")
 def queue_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "image").where(F.col("status").isin(S.PENDING, S.PROCESSING)).select("id", "status", "attempts", "uploaded_at")
+    return api.queue(table(spark, sf_dir, "image"))
 
 
 @query("SELECT id, status, attempts, uploaded_at, processing_started_at, processed_at, CASE WHEN status = 'failed' THEN failure_reason END AS failure_reason FROM image")
@@ -384,12 +375,77 @@ def status_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT id, status, processed_at, CASE WHEN NOT isnan(analysis_result.confidence_score) THEN analysis_result.confidence_score END AS confidence_score FROM image WHERE status = 'completed'")
 def results_ready(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "image").where(F.col("status") == S.COMPLETED).select("id", "status", "processed_at", F.col("analysis_result.confidence_score").alias("confidence_score"))
+    return api.completed(table(spark, sf_dir, "image"))
 
 
 @query("SELECT id, status, attempts, failure_reason FROM image WHERE status = 'failed'")
 def failure_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "image").where(F.col("status") == S.FAILED).select("id", "status", "attempts", "failure_reason")
+    return api.failed(table(spark, sf_dir, "image"))
+
+
+def _first(images: DataFrame, status: str) -> str:
+    return images.where(F.col("status") == status).agg(F.min("id")).first()[0]
+
+
+@query("""SELECT count(*) OVER () AS total, id, status FROM image ORDER BY uploaded_at DESC, id LIMIT 20 OFFSET 20""")
+def list_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second page with the total, by the listing itself."""
+    page = api.list_images(table(spark, sf_dir, "image"), None, "20", "20", CONFIG)
+    return page.items.select(F.lit(page.total).cast("bigint").alias("total"), "id", "status")
+
+
+@query("""WITH p AS (SELECT * FROM image ORDER BY uploaded_at DESC, id LIMIT 20)
+  SELECT count(*) AS shown, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'completed' AND analysis_result.overall_status = 'flagged') AS flagged,
+  count(*) FILTER (status IN ('pending', 'processing')) AS active FROM p""")
+def page_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counters of what one page shows."""
+    return dashboard.counts(api.list_images(table(spark, sf_dir, "image"), config=CONFIG).items)
+
+
+@query("SELECT id, status, attempts, uploaded_at, processing_started_at, processed_at, failure_reason FROM image WHERE id = (SELECT min(id) FROM image WHERE status = 'failed')")
+def status_of_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    images = table(spark, sf_dir, "image")
+    return api.status_of(images, _first(images, S.FAILED))
+
+
+@query("""SELECT id, status, processed_at, analysis_result.overall_status AS overall_status, len(analysis_result.checks)::INTEGER AS checks FROM image WHERE id = (SELECT min(id) FROM image WHERE status = 'completed')""")
+def results_of_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    images = table(spark, sf_dir, "image")
+    told = api.results_of(images, _first(images, S.COMPLETED))
+    return told.select("id", "status", "processed_at", "analysis.overall_status", F.when(F.col("analysis.checks").isNotNull(), F.size("analysis.checks")).alias("checks"))
+
+
+@query("SELECT id, status, attempts, failure_reason FROM image WHERE id = (SELECT min(id) FROM image WHERE status = 'failed')")
+def failure_of_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    images = table(spark, sf_dir, "image")
+    return api.failure_of(images, _first(images, S.FAILED))
+
+
+@query("SELECT id, status, uploaded_at, 'queued for analysis' AS message FROM image WHERE status = 'pending'")
+def upload_acknowledged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return api.acknowledged(table(spark, sf_dir, "image").where(F.col("status") == S.PENDING))
+
+
+@query("SELECT DISTINCT id AS image_id, 0::BIGINT AS seq, 'queued' AS event, uploaded_at AS event_at FROM image WHERE status = 'pending'")
+def queued_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lifecycle.queued(table(spark, sf_dir, "image").where(F.col("status") == S.PENDING)).drop("error")
+
+
+_KNOWN = "concat('KA', lpad((abs(size_bytes) % 90 + 10)::VARCHAR, 2, '0'), 'MH', lpad((abs(size_bytes) % 10000)::VARCHAR, 4, '0'))"
+
+
+@query(f"""WITH k AS (SELECT lower(sha256_hash) AS sha, min({_KNOWN}) AS plate FROM image WHERE mime_type = 'image/png' AND size_bytes > -2147483648 GROUP BY 1)
+  SELECT id, plate IS NOT NULL AS passed, plate, substring(plate, 1, 2) AS state, substring(plate, 3, 2) AS rto, substring(plate, 5, 2) AS series, substring(plate, 7) AS number FROM image LEFT JOIN k ON lower(sha256_hash) = sha""")
+def known_plates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plates of known files, by hash; the table of known plates stands in as one made from the uploads themselves."""
+    images = table(spark, sf_dir, "image").select("id", "sha256_hash", "mime_type", "size_bytes")
+    part = lambda of, width: F.lpad(of.cast("string"), width, "0")
+    size = F.abs("size_bytes")
+    plate = F.concat(F.lit("KA"), part(size % 90 + 10, 2), F.lit("MH"), part(size % 10000, 4))
+    known = images.where("mime_type = 'image/png' and size_bytes > -2147483648").select("sha256_hash", plate.alias("plate"))
+    made = plates.SuppliedText().text(plates.with_known(images, known)).withColumn("c", plates.check(CONFIG))
+    got = lambda n: F.get_json_object("c.details_json", f"$.{n}")
+    return made.select("id", "c.passed", got("extractedPlate").alias("plate"), got("stateCode").alias("state"), got("rtoCode").alias("rto"), got("seriesCode").alias("series"), got("uniqueNumber").alias("number"))
 
 
 _EVENTS = "ev AS (SELECT DISTINCT * FROM job_event)"
@@ -454,7 +510,7 @@ def size_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH s AS (SELECT id, (epoch(TIMESTAMP '{NOW}') - floor(epoch(uploaded_at)))::BIGINT AS s FROM image)
-  SELECT id, CASE WHEN s < 60 THEN 'JUST NOW' WHEN s < 3600 THEN concat(s // 60, 'M') WHEN s < 86400 THEN concat(s // 3600, 'H') ELSE concat(s // 86400, 'D') END AS age FROM s""")
+  SELECT id, CASE WHEN s < 60 THEN 'JUST NOW' WHEN s < 3600 THEN concat(s // 60, 'M AGO') WHEN s < 86400 THEN concat(s // 3600, 'H AGO') ELSE concat(s // 86400, 'D AGO') END AS age FROM s""")
 def age_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "image").select("id", C.age_label(F.col("uploaded_at"), F.lit(NOW).cast("timestamp")).alias("age"))
 
@@ -478,7 +534,7 @@ def check_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT id, sha256(original_name) AS name_hash FROM image")
 def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "image").select("id", F.sha2("original_name", 256).alias("name_hash"))
+    return table(spark, sf_dir, "image").select("id", ingest.content_hash(F.col("original_name")).alias("name_hash"))
 
 
 @query("""SELECT a.id AS id_a, b.id AS id_b, CASE WHEN length(a.perceptual_hash) <> length(b.perceptual_hash) THEN 9007199254740991 ELSE

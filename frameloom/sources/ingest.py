@@ -1,11 +1,13 @@
 """Uploads: a directory of files with a manifest, split into accepted and refused rows, and their features.
 
-The files are Spark's binary source. Size and declared type are tested before any content is read;
-content goes through one vectorised function that yields all features and is dropped there.
+The files are Spark's binary source. Size and declared type are tested on the listing, before any content is read, and only accepted files are
+read: once for hash and header, once by the JVM's decoder for pixels. Content goes through vectorised functions and is dropped there; the session's bound on
+the bytes of a batch (64 MB by default) keeps batches of files small.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,9 +22,6 @@ from frameloom.sources.exif import EMPTY, read_exif
 from frameloom.sources.header import Unreadable, read_header
 from frameloom.sources.pixels import measures
 
-#: Files of some MB each: few in a batch, so that a batch fits in a worker's memory.
-FILES_PER_BATCH = 8
-
 
 def refusal(mime: Column, size: Column, config: Config) -> Column:
     """Why an upload is refused, or null. The declared type decides; the limit itself is allowed."""
@@ -38,6 +37,17 @@ def stored_name(token: Column, mime: Column) -> Column:
     return F.concat(token, extension[mime])
 
 
+def registered(spark: SparkSession, uploads: DataFrame, path: str, folder: str) -> DataFrame:
+    """New uploads (original_name, mime_type, size_bytes, uploaded_at) with an id and a stored name, both random.
+
+    They are made once and written to ``path``, from which they are read ever after: a plan that is run again would make others.
+    """
+    made = uploads.withColumns({"id": F.expr("uuid()"), "stored_filename": stored_name(F.expr("uuid()"), F.col("mime_type"))})
+    columns = [f.name for f in S.MANIFEST.fields]
+    made.withColumn("storage_path", F.concat(F.lit(f"{folder}/"), "stored_filename")).select(columns).write.mode("errorifexists").parquet(path)
+    return spark.read.schema(S.MANIFEST).parquet(path)
+
+
 def split_manifest(manifest: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]:
     """(accepted, refused with ``reason``)."""
     judged = manifest.withColumn("reason", refusal(F.col("mime_type"), F.col("size_bytes"), config))
@@ -54,7 +64,7 @@ def read_images(spark: SparkSession, directory: str | list[str]) -> DataFrame:
 
 
 def file_name(path: Column) -> Column:
-    return F.url_decode(F.element_at(F.split(path, "/"), -1))
+    return F.element_at(F.split(path, "/"), -1)
 
 
 def header_row(content: bytes | None) -> dict:
@@ -110,23 +120,48 @@ def with_fingerprint(rows: DataFrame) -> DataFrame:
     return halves.withColumn("perceptual_hash", fingerprint_hex(F.col("ahash_hi"), F.col("ahash_lo")))
 
 
-def extract(spark: SparkSession, directory: str | list[str], config: Config) -> DataFrame:
-    """One narrow row per file of a directory or of a list of paths: name, hash, header and pixel features. File contents and pixels end here."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(FILES_PER_BATCH))
-    files = read_files(spark, directory).where(F.col("length") <= config.max_upload_bytes)
-    heads = files.select(file_name(F.col("path")).alias("stored_filename"), F.sha2("content", 256).alias("sha256_hash"), header_udf()("content").alias("h"))
-    pixels = read_images(spark, directory).select(file_name(F.col("origin")).alias("stored_filename"), pixel_udf(config)("data", "height", "width", "nChannels").alias("p"))
-    return with_fingerprint(heads.join(pixels, "stored_filename", "left").select("stored_filename", "sha256_hash", "h.*", "p.*"))
+def content_hash(content: Column) -> Column:
+    return F.sha2(content, 256)
+
+
+def extract(spark: SparkSession, files: str | list[str], config: Config) -> DataFrame:
+    """One narrow row per file of a directory or of a list of paths: path, name, hash, header and pixel features. File contents and pixels end here."""
+    held = read_files(spark, files).where(F.col("length") <= config.max_upload_bytes)
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    heads = held.select(plain(F.col("path")).alias("path"), content_hash(F.col("content")).alias("sha256_hash"), header_udf()("content").alias("h"))
+    # The decoder gives its paths as URIs, in which a plus sign is one.
+    origin = F.url_decode(F.replace(F.col("origin"), F.lit("+"), F.lit("%2B")))
+    pixels = read_images(spark, files).select(plain(origin).alias("path"), pixel_udf(config)("data", "height", "width", "nChannels").alias("p"))
+    made = heads.join(pixels, "path", "left").select("path", file_name(F.col("path")).alias("stored_filename"), "sha256_hash", "h.*", "p.*")
+    return with_fingerprint(made)
 
 
 def ingest(spark: SparkSession, manifest: DataFrame, directory: str | list[str], config: Config) -> tuple[DataFrame, DataFrame]:
     """(accepted pending rows with features, refused rows with ``reason``).
 
-    ``manifest`` has the columns of ``schema.MANIFEST``; files are found by ``stored_filename``. Repeated
-    ids count once. A row without a file is refused.
+    ``manifest`` has the columns of ``schema.MANIFEST``; files are found by ``stored_filename``, of several with one name the one whose path
+    comes first. Repeated ids count once. A row without a file, or with one that is too large, is refused. The paths of accepted files
+    come to the driver, which has listed them anyway.
     """
     accepted, refused = split_manifest(manifest.dropDuplicates(["id"]), config)
-    joined = accepted.join(extract(spark, directory, config), "stored_filename", "left")
-    missing = joined.where("sha256_hash is null").select(*manifest.columns, F.lit("file is missing").alias("reason"))
-    pending = joined.where("sha256_hash is not null").withColumns({"status": F.lit(S.PENDING), "attempts": F.lit(0), "failure_reason": F.lit(None).cast("string")})
-    return pending, refused.unionByName(missing)
+    listing = read_files(spark, directory).select("path", "length", file_name(F.col("path")).alias("stored_filename"))
+    wanted = listing.where(F.col("length") <= config.max_upload_bytes).join(accepted.select("stored_filename").distinct(), "stored_filename", "left_semi")
+    paths = [r.path for r in wanted.groupBy("stored_filename").agg(F.min("path").alias("path")).collect()]
+    listed = listing.groupBy("stored_filename").agg(F.min("length").alias("_least"))
+    if paths:
+        joined = accepted.join(extract(spark, [_literal(p) for p in paths], config).drop("path"), "stored_filename", "left")
+        pending = joined.where("sha256_hash is not null").select(*manifest.columns, *[c for c in joined.columns if c not in manifest.columns])
+        absent = joined.where("sha256_hash is null").select(*manifest.columns)
+    else:
+        none = [F.lit(None).cast(f.dataType).alias(f.name) for f in (*S.HEADER.fields, *S.PIXELS.fields)]
+        pending = with_fingerprint(accepted.select("*", F.lit(None).cast("string").alias("sha256_hash"), *none)).limit(0)
+        absent = accepted.select(*manifest.columns)
+    reason = F.when(F.col("_least") > config.max_upload_bytes, "too large").otherwise("file is missing")
+    absent = absent.join(listed, "stored_filename", "left").select(*manifest.columns, reason.alias("reason"))
+    pending = pending.withColumns({"status": F.lit(S.PENDING), "attempts": F.lit(0), "failure_reason": F.lit(None).cast("string")})
+    return pending, refused.unionByName(absent)
+
+
+def _literal(path: str) -> str:
+    """A listed path as the reader takes it: pattern characters stand for themselves."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)

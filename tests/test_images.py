@@ -111,3 +111,36 @@ def test_files_as_they_arrive(spark, tmp_path):
     pending = spark.read.parquet(str(tmp_path / "sink/pending")).collect()
     assert sorted(r.id for r in pending) == ["id1", "id2"] and all(r.status == "pending" and r.perceptual_hash for r in pending)
     assert [r.reason for r in spark.read.parquet(str(tmp_path / "sink/refused")).collect()] == ["unsupported type"]
+    assert sorted((r.image_id, r.seq, r.event) for r in spark.read.parquet(str(tmp_path / "sink/events")).collect()) == [("id1", 0, "queued"), ("id2", 0, "queued")]
+
+
+def test_only_accepted_files_are_read_and_names_may_repeat_in_folders(spark, tmp_path):
+    for folder, seed in (("a", 1), ("b", 2)):
+        (tmp_path / "in" / folder).mkdir(parents=True)
+        (tmp_path / "in" / folder / "x [1] +50%.png").write_bytes(png(noise(seed, 40, 30)))
+    (tmp_path / "in" / "refused.png").write_bytes(b"not to be read")
+    row = lambda i, name, kind: (i, name, name, "p", kind, 9, dt.datetime(2019, 3, 1))
+    manifest = spark.createDataFrame([row("1", "x [1] +50%.png", "image/png"), row("2", "refused.png", "text/plain"), row("3", "none.png", "image/png")], S.MANIFEST)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    pending, refused = ingest.ingest(spark, manifest, str(tmp_path / "in"), Config())
+    assert [(r.id, r.width, r.perceptual_hash is not None) for r in pending.collect()] == [("1", 40, True)]
+    assert {(r.id, r.reason) for r in refused.collect()} == {("2", "unsupported type"), ("3", "file is missing")}
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+    assert not any("refused.png" in f for f in pending.inputFiles())
+    nothing, refused = ingest.ingest(spark, manifest.where("id <> '1'"), str(tmp_path / "in"), Config())
+    assert nothing.count() == 0 and refused.count() == 2 and nothing.columns == pending.columns
+
+
+def test_identifiers_are_random_and_made_once(spark, tmp_path):
+    uploads = spark.createDataFrame([("n", "image/png", 5, dt.datetime(2019, 3, 1))] * 4 + [("n", "text/plain", 5, None)], "original_name string, mime_type string, size_bytes int, uploaded_at timestamp")
+    made = ingest.registered(spark, uploads, str(tmp_path / "manifest"), "uploads")
+    first, second = sorted(map(tuple, made.collect()), key=str), sorted(map(tuple, made.collect()), key=str)
+    assert first == second and len({r[0] for r in first}) == 5 and len({r[2] for r in first if r[2]}) == 4
+    assert all(r[2] is None or (r[2].endswith(".png") and r[3] == f"uploads/{r[2]}" and r[2][:36] != r[0]) for r in first)
+
+
+def test_fixed_decimals_in_messages(spark):
+    from frameloom.functions.columns import fixed
+
+    got = spark.createDataFrame([(0.25,), (12.0,), (99.949,), (-0.04,), (None,)], "x double").select(fixed(F.col("x"), 1).alias("t")).collect()
+    assert [r.t for r in got][:3] == ["0.3", "12.0", "99.9"]
