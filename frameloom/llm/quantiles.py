@@ -19,6 +19,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from frameloom.operators.skew import hot_of, salted
+from frameloom.session import Scratch
+
 RELATIVE_ERROR = 0.01
 PERCENTILES = (0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 
@@ -53,7 +56,7 @@ def merge(sketches: DataFrame, by: list[str]) -> DataFrame:
 def percentiles(merged: DataFrame, by: list[str], points: tuple[float, ...] = PERCENTILES, error: float = RELATIVE_ERROR) -> DataFrame:
     """(by..., percentile, n_values, estimate, relative_error) from a merged sketch."""
     group = Window.partitionBy(*by)
-    order = group.orderBy(F.col("sign") * F.when(F.col("sign") == 0, F.lit(0)).otherwise(F.lit(1)), F.col("sign") * F.col("bucket"))
+    order = group.orderBy("sign", F.col("sign") * F.col("bucket"))
     placed = merged.withColumns({"upto": F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)), "total": F.sum("n").over(group)})
     asked = placed.withColumn("percentile", F.explode(F.array(*[F.lit(p) for p in points])))
     rank = F.greatest(F.ceil(F.round(F.col("percentile") * F.col("total"), 6)), F.lit(1))
@@ -81,5 +84,28 @@ def daily_sketches(images: DataFrame, error: float = RELATIVE_ERROR) -> DataFram
 
 
 def image_percentiles(images: DataFrame, points: tuple[float, ...] = PERCENTILES, error: float = RELATIVE_ERROR) -> DataFrame:
+    """From the written results of the days, which are all that is read for it."""
     by = ["kind", "measure"]
-    return percentiles(merge(daily_sketches(images, error), by), by, points, error)
+    daily = Scratch(images.sparkSession, "sketches").write(daily_sketches(images, error), "daily")
+    return percentiles(merge(daily, by), by, points, error)
+
+
+def kept_promise(images: DataFrame, points: tuple[float, ...] = PERCENTILES, error: float = RELATIVE_ERROR) -> DataFrame:
+    """(kind, measure, percentile, within): whether the value at the rank lies within the stated error of the estimate.
+
+    Nothing is sorted: the values below and up to the error's bounds are counted, and the rank must lie between the counts.
+    """
+    scratch = Scratch(images.sparkSession, "promise")
+    told = scratch.write(image_percentiles(images, points, error), "told")
+    slack = 1e-9
+    est = F.col("estimate")
+    asked = told.select(
+        F.concat_ws("|", "measure", "kind").alias("g"), "kind", "measure", "percentile", "n_values",
+        (F.least(est / (1 + error), est / (1 - error)) * (1 - F.signum(est) * slack)).alias("low"), (F.greatest(est / (1 + error), est / (1 - error)) * (1 + F.signum(est) * slack)).alias("high"),
+    )
+    values, n = scratch.write_counted(measures(images).select(F.concat_ws("|", "measure", "kind").alias("g"), "x"), "values")
+    mine, theirs = salted(values, asked.groupBy("g").agg(F.collect_list(F.struct("percentile", "low", "high")).alias("asked")), "g", F.monotonically_increasing_id(), n["n"], hot_of(told.select(F.concat_ws("|", "measure", "kind").alias("g"), "n_values").distinct(), "g", "n_values", n["n"]))
+    flat = mine.join(theirs, ["g", "_salt"]).select("g", "x", F.explode("asked").alias("a"))
+    counts = flat.groupBy("g", F.col("a.percentile").alias("percentile")).agg(F.count_if(F.col("x") < F.col("a.low")).alias("below"), F.count_if(F.col("x") <= F.col("a.high")).alias("upto"))
+    rank = F.greatest(F.ceil(F.round(F.col("percentile") * F.col("n_values"), 6)), F.lit(1))
+    return asked.join(counts, ["g", "percentile"]).select("kind", "measure", "percentile", ((F.col("below") < rank) & (rank <= F.col("upto"))).alias("within"))

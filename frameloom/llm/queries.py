@@ -59,6 +59,10 @@ def p5_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantiles.image_percentiles(table(spark, sf_dir, "image")).withColumn("estimate", F.round("estimate", 6))
 
 
+def p5_within_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quantiles.kept_promise(table(spark, sf_dir, "image"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_ids(table(spark, sf_dir, "documents"))
 
@@ -82,7 +86,7 @@ def p8_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (p1_found, p1_error_report, p1_bounds, p1_incremental, p2_found, p2_incremental, p3_found, p5_daily_sketches, p5_percentiles, p6_ids, p7_found, p7_leaked_items, p8_found, p8_classes)
+        for f in (p1_found, p1_error_report, p1_bounds, p1_incremental, p2_found, p2_incremental, p3_found, p5_daily_sketches, p5_percentiles, p5_within_error, p6_ids, p7_found, p7_leaked_items, p8_found, p8_classes)
     }
 
 
@@ -140,6 +144,9 @@ def oracle_sql() -> dict[str, str]:
         "p2_incremental": f"WITH {_BATCHES} SELECT image_id, match_kind FROM told WHERE match_kind IS NOT NULL AND day IN (SELECT DISTINCT day FROM r ORDER BY day DESC LIMIT {STEPS})",
         "p3_found": f"WITH RECURSIVE {_LINKS} SELECT v AS image_id, min(w) AS group_id FROM reach GROUP BY v",
         "p5_daily_sketches": f"WITH {_MEASURES} SELECT * FROM b",
+        "p5_within_error": f"""WITH {_MEASURES}, o AS (SELECT kind, measure, x, row_number() OVER (PARTITION BY kind, measure ORDER BY x) AS k, count(*) OVER (PARTITION BY kind, measure) AS total FROM m),
+            t AS (SELECT kind, measure, percentile, x, {2.0 / (gamma + 1)!r}::DOUBLE * pow({gamma!r}::DOUBLE, ceil(ln(x) / {_WIDTH!r})) AS estimate FROM o, (VALUES {points}) AS p(percentile) WHERE k = greatest(ceil(round(percentile * total, 6)), 1))
+            SELECT kind, measure, percentile, CASE WHEN x = 0 THEN TRUE ELSE abs(estimate - x) <= {quantiles.RELATIVE_ERROR}::DOUBLE * x * (1 + 1e-9) END AS within FROM t""",
         "p5_percentiles": f"""WITH {_MEASURES}, s AS (SELECT kind, measure, sign, bucket, sum(n) AS n FROM b GROUP BY ALL),
             c AS (SELECT *, sum(n) OVER (PARTITION BY kind, measure ORDER BY sign, sign * bucket) AS upto, sum(n) OVER (PARTITION BY kind, measure) AS total FROM s),
             q AS (SELECT *, greatest(ceil(round(percentile * total, 6)), 1) AS rank FROM c, (VALUES {points}) AS p(percentile))

@@ -53,5 +53,15 @@ def test_kinds_and_measures(spark):
     assert got == [("image/jpeg", "confidence_score", 0.5), ("image/jpeg", "size_bytes", 5.0), ("image/png", "confidence_score", 0.0), ("image/png", "size_bytes", 7.0)]
 
 
+def test_the_promise_is_checked_by_counting(spark):
+    import datetime as dt
+
+    rng = random.Random(4)
+    rows = [(rng.choice(["image/png", "image/jpeg"]), int(rng.lognormvariate(10, 2)) + 1, dt.datetime(2019, 3, 1 + i % 3), (rng.choice([0.0, 1.0, rng.random()]),)) for i in range(2000)]
+    table = spark.createDataFrame(rows, "mime_type string, size_bytes int, uploaded_at timestamp, analysis_result struct<confidence_score:double>")
+    got = Q.kept_promise(table).collect()
+    assert len(got) == 4 * len(Q.PERCENTILES) and all(r.within for r in got)
+
+
 def test_empty(spark):
     assert Q.percentiles(Q.sketch(spark.createDataFrame([], DDL), ["g"], F.col("x")), ["g"]).count() == 0
