@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import reduce
@@ -186,25 +187,26 @@ class Item:
         return True
 
     def spoken(self, doc: list[str], where: dict[tuple[str, str], list[int]]) -> bool:
-        """Exact verification over the windows around shingles that lie at matching places."""
-        hits = Counter()
+        """Exact verification over the windows with enough shingles at matching places."""
+        at: dict[int, list[int]] = defaultdict(list)
         for s, mine in self.places.items():
             for d in where.get(s, ()):
                 for i in mine:
-                    hits[d - i] += 1
+                    at[d - i].append(i)
         tried: set[tuple[int, int]] = set()
-        for offset in hits:
+        for offset in at:
             # A split or joined word moves the rest by one; there are at most as many as misread words.
-            near = sum(hits[offset + k] for k in range(-self.misread, self.misread + 1))
-            if near < self.shared:
+            near = sorted({i for k in range(-self.misread, self.misread + 1) for i in at.get(offset + k, ())})
+            if len(near) < self.shared:
                 continue
-            for s in range(len(self.words) - self.window + 1):
-                for start in range(s + offset - self.misread, s + offset + self.misread + 1):
-                    if start < 0 or (s, start) in tried:
-                        continue
-                    tried.add((s, start))
-                    if self._from(s, s + self.window, doc, start, self.misread):
-                        return True
+            for s in range(max(0, near[0] - self.size + 1), min(len(self.words) - self.window, near[-1]) + 1):
+                if bisect_left(near, s + self.size) - bisect_left(near, s) < self.shared:
+                    continue
+                for start in range(max(0, s + offset - self.misread), s + offset + self.misread + 1):
+                    if (s, start) not in tried:
+                        tried.add((s, start))
+                        if self._from(s, s + self.window, doc, start, self.misread):
+                            return True
         return False
 
 
