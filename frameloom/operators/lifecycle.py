@@ -78,9 +78,3 @@ def with_missing(jobs: DataFrame, images: DataFrame) -> DataFrame:
     """Jobs of images that don't exist are marked: their attempts fail and nothing is updated."""
     known = images.select(F.col("id").alias("image_id"), F.lit(True).alias("known")).distinct()
     return jobs.join(known, "image_id", "left").withColumn("missing", F.col("known").isNull()).drop("known")
-
-
-def compact(events: DataFrame, path: str) -> DataFrame:
-    """Write the distinct events to a new path, clustered by image, for the reader to swap to."""
-    once(events).repartition("image_id").sortWithinPartitions("image_id", "seq").write.mode("overwrite").parquet(path)
-    return events.sparkSession.read.schema(events.schema).parquet(path)

@@ -73,8 +73,11 @@ class Scratch:
     def write_counted(self, df: DataFrame, name: str, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
         """``write`` that also gives the row count ``n`` and other counts, taken while writing."""
         seen = Observation()
-        made = self.write(df.observe(seen, F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in counts.items()]), name)
-        return made, {k: v or 0 for k, v in seen.get.items()}
+        asked = [F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in counts.items()]]
+        made = self.write(df.observe(seen, *asked), name)
+        # A plan found empty while it ran may leave nothing to observe.
+        got = seen.get or made.agg(*asked).first().asDict()
+        return made, {k: v or 0 for k, v in got.items()}
 
     def drop(self, name: str) -> None:
         """Remove a table nothing reads any more."""
