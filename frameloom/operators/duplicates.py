@@ -7,7 +7,7 @@ Near: by default the snapshot rule, the newest ``window`` fingerprints other tha
 the newer of two equally close. ``as_of="upload"`` looks at the ``window`` uploads before the row
 instead, and ``near_pairs`` compares all pairs within the distance by band keys. Rows with an exact match are not searched for near ones.
 
-Rows without a usable hash have no exact match, rows without a usable fingerprint no near one. Repeated rows of one id repeat its answer.
+Rows without a usable hash have no exact match, rows without a usable fingerprint no near one. Repeated rows of one id repeat its exact match and have one near match.
 """
 
 from __future__ import annotations
@@ -57,26 +57,23 @@ def near_in_window(rows: DataFrame, config: Config, asked: DataFrame | None = No
     """(id, matched_id, distance) under the snapshot rule, of all rows or of the ids in ``asked`` only.
 
     The candidates of every row lie among the newest window + 1 rows: a row inside the window
-    reaches one further in place of itself. That many rows, a configured number, are broadcast as one array, and
-    each row takes the closest of it within itself: nothing is grouped or shuffled.
+    reaches one further in place of itself. That many rows, a configured number, are broadcast; the pairs of a row are
+    reduced to the closest one where they arise, before the shuffle by id.
     """
     held = fingerprinted(rows)
     newest = held.orderBy(F.desc("uploaded_at"), F.desc("id")).limit(config.near_window + 1)
-    ordered = F.sort_array(F.collect_list(F.struct("uploaded_at", "id", "ahash_hi", "ahash_lo")), asc=False)
-    near = newest.agg(F.transform(ordered, lambda c, k: F.struct(c["uploaded_at"].alias("at"), c["id"].alias("id"), c["ahash_hi"].alias("hi"), c["ahash_lo"].alias("lo"), (k + 1).alias("rank"))).alias("near"))
+    ranked = newest.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("uploaded_at"), F.desc("id"))))
+    other = ranked.select(F.col("id").alias("matched_id"), F.col("ahash_hi").alias("hi"), F.col("ahash_lo").alias("lo"), "rank")
+    own = ranked.where(F.col("rank") <= config.near_window).select("id", F.lit(1).alias("inside"))
     if asked is not None:
         held = held.join(asked, "id", "left_semi")
-    last = F.get("near", F.lit(config.near_window - 1))
-    inside = F.coalesce(F.struct(F.col("uploaded_at"), F.col("id")) >= F.struct(last["at"], last["id"]), F.lit(True))
-
-    def candidate(c: Column) -> Column:
-        distance = hamming_halves(F.col("ahash_hi"), F.col("ahash_lo"), c["hi"], c["lo"])
-        return F.when((c["id"] != F.col("id")) & (c["rank"] <= F.col("reach")), F.struct(distance.alias("distance"), c["rank"].alias("rank"), c["id"].alias("id")))
-
-    # One row of one aggregate; its array has window + 1 elements at most.
-    found = held.join(F.broadcast(near)).withColumn("reach", config.near_window + inside.cast("int")).select("id", F.array_min(F.transform("near", candidate)).alias("best"))
-    found = found.where(F.col("best.distance") <= config.near_distance)
-    return found.select("id", F.col("best.id").alias("matched_id"), F.col("best.distance").alias("distance"))
+    reach = F.col("rank") <= config.near_window + F.coalesce("inside", F.lit(0))
+    distance = hamming_halves(F.col("ahash_hi"), F.col("ahash_lo"), F.col("hi"), F.col("lo"))
+    # The limit is part of the join: a farther pair decides nothing, since the closest one is asked for.
+    near = (F.col("id") != F.col("matched_id")) & reach & (distance <= config.near_distance)
+    pairs = held.join(F.broadcast(own), "id", "left").join(F.broadcast(other), near)
+    best = pairs.groupBy("id").agg(F.min(F.struct(distance.alias("distance"), F.col("rank"), F.col("matched_id"))).alias("best"))
+    return best.select("id", F.col("best.matched_id").alias("matched_id"), F.col("best.distance").alias("distance"))
 
 
 def with_sequence(rows: DataFrame) -> DataFrame:
